@@ -60,7 +60,7 @@ def bucketed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
 
 
 def ordered(t: pa.Table) -> pa.Table:
-    """Rows in an order that doesn't depend on how they arrived: by id (null first), then text."""
+    """Rows in an order that doesn't depend on how they arrived: by id (null last), then text."""
     return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if t.num_rows > 1 else t
 
 
