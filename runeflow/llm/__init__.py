@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "suffixes")
+MODULES = ("windows", "suffixes", "near")
 
 
 def queries() -> dict:
