@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "suffixes", "near")
+MODULES = ("windows", "suffixes", "near", "neighbours")
 
 
 def queries() -> dict:
