@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "suffixes", "near", "neighbours", "tokens")
+MODULES = ("windows", "suffixes", "near", "neighbours", "tokens", "shuffle")
 
 
 def queries() -> dict:
