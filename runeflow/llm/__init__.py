@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "suffixes", "near", "neighbours", "tokens", "shuffle")
+MODULES = ("windows", "suffixes", "near", "neighbours", "tokens", "shuffle", "mixing")
 
 
 def queries() -> dict:
