@@ -23,6 +23,8 @@ from . import common as C
 from . import hashing as H
 
 GRAM = 48
+BUCKET_BYTES = 2 << 20
+"""Half the usual bucket: the parse keeps several 64-bit numbers for each byte."""
 PLACE = np.uint64((1 << 30) - 1)
 LAST = np.int64(2**63 - 1)
 PHRASES = "part int, bucket int, phrases binary"
@@ -104,6 +106,21 @@ class _Bucket:
         return np.cumsum(steps)[:n] > 0
 
 
+SORTED = 200_000
+
+
+def shares(every: np.ndarray, suffix: np.ndarray, width: int) -> list[np.ndarray]:
+    """The suffixes in groups of about SORTED, by a hash of a few of their bytes: equal strings share a group."""
+    n = len(suffix) // SORTED + 1
+    if n == 1:
+        return [np.arange(len(suffix))]
+    h = np.zeros(len(suffix), H.U)
+    for i in range(0, width, 7):
+        h = h * H.BASE + H.BYTE[every[suffix, i]]
+    g = (H.mix(h) >> H.U(40)) % H.U(n)
+    return [np.flatnonzero(g == i) for i in range(n)]
+
+
 def sort_dictionary(t: pa.Table, width: int) -> pa.Table:
     """One part: for each row of PHRASES one bit per suffix, set if an earlier suffix has the same ``width`` bytes."""
     loads = [pickle.loads(pa.decompress(b[:-8], int.from_bytes(b[-8:], "little"), codec="zstd")) for b in t["phrases"].to_pylist()]
@@ -127,12 +144,15 @@ def sort_dictionary(t: pa.Table, width: int) -> pa.Table:
     flag_at = np.cumsum(size) - size
     flags = np.ones(int(size.sum()), bool)
     if len(suffix):
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, width)[suffix]).view(f"S{width}").ravel()
-        rank = np.argsort(strings, kind="stable")
-        s = strings[rank]
-        again = np.empty(len(s), bool)
-        again[rank] = np.r_[False, s[1:] == s[:-1]]
-        flags[C.ragged(flag_at[kept], size[kept])] = again
+        flag = C.ragged(flag_at[kept], size[kept])
+        every = np.lib.stride_tricks.sliding_window_view(text, width)
+        for some in shares(every, suffix, width):
+            strings = np.ascontiguousarray(every[suffix[some]]).view(f"S{width}").ravel()
+            rank = np.argsort(strings, kind="stable")
+            again = np.empty(len(rank), bool)
+            again[rank[:1]] = False
+            again[rank[1:]] = strings[rank[1:]] == strings[rank[:-1]]
+            flags[flag[some]] = again
     ends = np.cumsum(np.bincount(row, weights=size, minlength=len(loads)).astype(np.int64))
     masks = [flags[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
     keep = [i for i, m in enumerate(masks) if m.any()]
@@ -182,7 +202,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100, doc_id: str = "doc_
     """
     if not GRAM < width <= GRAM + 200:
         raise ValueError(f"width must be from {GRAM + 1} to {GRAM + 200}")
-    n = C.n_buckets(docs, text)
+    n = C.n_buckets(docs, text, BUCKET_BYTES)
     docs_b = C.bucketed(docs, doc_id, text, n)
 
     def triggers(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
