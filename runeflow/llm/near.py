@@ -26,10 +26,12 @@ from .components import components
 
 REGISTERS, BANDS = 140, 28
 """Bands of 5 registers: at a similarity of 0.8 the chance that no band agrees is below 2e-5."""
-BASE, RATE, TOP = 1.06, 1e-4, 254
-"""b, a and q of the sketch: minima from b**-253 / a to 1 / a, i.e. sets of one to some millions of shingles."""
+BASE, RATE, TOP = 1.08, 20.0, 254
+"""b, a and q of the sketch: registers tell minima down to b**-253 apart, i.e. sets of one to some 15 million shingles."""
 SLACK = 4.0
 """Standard deviations by which an estimate may fall short of the threshold and still be confirmed on the full sets."""
+BLOCK = 1024
+"""Members of a bucket or component that a task holds at a time."""
 SKETCHES = "row_id long, n_shingles long, set_a long, set_b long, sketch binary"
 
 _rng = np.random.default_rng(H.SEED + 8)
@@ -137,10 +139,14 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("band"), "node")
 
 
+def _slack(threshold: float) -> float:
+    return SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS) + 0.02
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose estimate is at most SLACK standard deviations below the threshold."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
-    slack = SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS) + 0.02
+    slack = _slack(threshold)
 
     def run(batches):
         for t in batches:
@@ -155,12 +161,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return both.where(possible).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of row ids with 100 * intersection >= percent * union of the full sets."""
-    pairs = C.materialize(pairs, "pairs")
-    need = C.materialize(pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).groupBy("row_id").agg(F.lit(1).alias("n")).select("row_id"), "need")
+def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(row_id, shingles): the full sets, 64-bit hashes in ascending order, of the given rows."""
 
-    def sets(batches):
+    def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 t = whole.slice(lo, 512)
@@ -168,20 +172,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                 values, off = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([t.column(0), pa.array([values[p:q].tobytes() for p, q in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["row_id", "shingles"])
 
-    full = C.materialize(docs.select("row_id", "text").join(need, "row_id").mapInArrow(sets, "row_id long, shingles binary"), "sets")
+    need = C.materialize(rows.groupBy("row_id").agg(F.lit(1).alias("n")).select("row_id"), "need")
+    return C.materialize(docs.select("row_id", "text").join(need, "row_id").mapInArrow(run, "row_id long, shingles binary"), "sets")
+
+
+def linked(one: bytes, others: list[bytes], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, of one full set with each of the others."""
+    u, sizes = np.frombuffer(one, np.uint64), np.array([len(x) // 8 for x in others])
+    v = np.frombuffer(b"".join(others), np.uint64)
+    at = np.minimum(np.searchsorted(u, v), len(u) - 1)
+    both = np.add.reduceat((u[at] == v).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(u) + sizes - both)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of row ids whose full sets are similar enough."""
+    pairs = C.materialize(pairs, "pairs")
+    full = _sets(docs, pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")), k)
 
     def check(batches):
         for t in batches:
-            keep = []
-            last, u = None, None
-            for a, x, y in zip(t.column("a").to_pylist(), t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True):
-                if a != last:
-                    last, u = a, np.frombuffer(x, np.uint64)
-                v = np.frombuffer(y, np.uint64)
-                at = np.searchsorted(u, v)
-                both = int((u[np.minimum(at, len(u) - 1)] == v).sum())
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            m = pa.array(keep, pa.bool_())
+            m = pa.array([bool(linked(x, [y], percent)[0]) for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(m), t.column("b").filter(m)], ["a", "b"])
 
     left = full.select(F.col("row_id").alias("a"), F.col("shingles").alias("x"))
@@ -189,6 +200,76 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _blocks(rows: DataFrame, sizes: DataFrame, key: str, node: str) -> DataFrame:
+    """Deals the rows of each key into blocks of about BLOCK."""
+    return rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(node), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
+
+
+def _everywhere(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Each row once for every block of its key."""
+    return rows.join(sizes, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1))).drop("n")
+
+
+def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components which share a bucket.
+
+    placed: (band, node, pivot, node_of, pivot_of).  Two members of a bucket that are still apart are not both in the
+    pivot's component, so it is enough to hold the members outside it, x, against all others.  What passes between tasks
+    is at most one row for x and each other component that has a candidate for it, never a row for each pair.
+    """
+    slack = _slack(percent / 100)
+    least = int((percent / 100 - slack) * REGISTERS) - 1  # registers agree at least as often as the similarity estimated from them
+    apart = placed.where("node_of <> pivot_of").select("band", F.col("node").alias("x"), F.col("node_of").alias("x_of"))
+    split = C.materialize(apart.groupBy("band").agg(F.lit(1).alias("n")).select("band"), "split")
+    others = C.materialize(placed.join(split, "band").select("band", F.col("node").alias("y"), F.col("node_of").alias("y_of")), "others")
+    sizes = C.materialize(others.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    sketch = lambda df, c: df.join(classes.select(F.col("node").alias(c), F.col("sketch").alias("sketch"), F.col("n_shingles").alias("n_shingles")), c)
+
+    def screen(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        out_x, out_c = [], []
+        if xs.num_rows and ys.num_rows:
+            r = [np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, REGISTERS) for t in (xs, ys)]
+            size = [t["n_shingles"].to_numpy().astype(float) for t in (xs, ys)]
+            x_of, y_of = xs["x_of"].to_numpy(), ys["y_of"].to_numpy()
+            names, one, other = xs["x"].to_pylist(), [], []
+            for i in range(len(names)):
+                fits = (y_of != x_of[i]) & (np.minimum(size[1], size[0][i]) >= (percent / 100 - 1e-9) * np.maximum(size[1], size[0][i]))
+                at = np.flatnonzero(fits)
+                at = at[(r[1][at] == r[0][i]).sum(1) >= least]
+                one.append(np.full(len(at), i))
+                other.append(at)
+            one, other = np.concatenate(one), np.concatenate(other)
+            if len(one):
+                j = estimate(r[0][one], r[1][other], size[0][one], size[1][other])
+                near = {(names[i], c) for i, c in zip(one[j >= percent / 100 - slack].tolist(), y_of[other[j >= percent / 100 - slack]].tolist(), strict=True)}
+                out_x, out_c = [x for x, _ in near], [c for _, c in near]
+        return pa.table({"x": pa.array(out_x, pa.int64()), "c": pa.array(out_c, pa.int64())})
+
+    left, right = sketch(_everywhere(apart, sizes, "band"), "x"), sketch(_blocks(others, sizes, "band", "y"), "y")
+    some = left.groupBy("band", "block").cogroup(right.groupBy("band", "block")).applyInArrow(screen, "x long, c long")
+    some = C.materialize(some.groupBy("x", "c").agg(F.lit(1).alias("n")).select("x", "c"), "across")
+    targets = some.groupBy("c").agg(F.lit(1).alias("one")).select("c")
+    member = classes.select("node").join(comp, "node", "left").select(F.col("node").alias("y"), F.coalesce("component", "node").alias("c")).join(C.materialize(targets, "targets"), "c")
+    member = C.materialize(member, "targets_members")
+    full = _sets(docs, some.select(F.col("x").alias("row_id")).union(member.select("y")), k)
+    sizes = C.materialize(member.groupBy("c").agg(F.count("*").alias("n")), "sizes")
+
+    def check(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        a, b = [], []
+        if xs.num_rows and ys.num_rows:
+            sets, names = ys["shingles"].to_pylist(), ys["y"].to_pylist()
+            for x, s in zip(xs["x"].to_pylist(), xs["shingles"].to_pylist(), strict=True):
+                hit = np.flatnonzero(linked(s, sets, percent))
+                if len(hit):  # one link joins the components
+                    a.append(x)
+                    b.append(names[hit[0]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    of = lambda df, c: df.join(full.select(F.col("row_id").alias(c), F.col("shingles").alias("shingles")), c)
+    left, right = of(_everywhere(some, sizes, "c"), "x"), of(_blocks(member, sizes, "c", "y"), "y")
+    return left.groupBy("c", "block").cogroup(right.groupBy("c", "block")).applyInArrow(check, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents linked by 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles.
 
@@ -213,12 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     comp = C.materialize(components(links), "components")
     label = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c, "left").withColumn(f"{c}_of", F.coalesce(f"{c}_of", c))
     at = C.materialize(label(label(members, "node"), "pivot"), "placed")
-    apart = at.where("node_of <> pivot_of").select("band", F.col("node").alias("x"), F.col("node_of").alias("x_of"))
-    split = apart.groupBy("band").agg(F.lit(1).alias("n")).select("band")
-    others = at.join(C.materialize(split, "split"), "band").select("band", F.col("node").alias("y"), F.col("node_of").alias("y_of"), "pivot")
-    # every pair of a split bucket that is still apart has a member outside the pivot's component; pairs with the pivot were confirmed or refused
-    rest = apart.join(others, "band").where("x_of <> y_of and y <> pivot").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.lit(1).alias("n")).select("a", "b")
-    more = _confirmed(_estimated(rest, classes, threshold), d, k, percent)
+    more = _across(at, classes, comp, d, k, percent)
     links = C.materialize(links.union(more), "all_links")
     comp = C.materialize(components(links), "all_components")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
