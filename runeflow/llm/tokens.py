@@ -16,7 +16,6 @@ under a temporary name and renamed, so a task that is run again replaces its own
 
 from __future__ import annotations
 
-import itertools
 import struct
 import uuid
 import zlib
@@ -35,8 +34,8 @@ from . import hashing as H
 
 MAGIC = b"RUNEID01"
 SHARD_BYTES = 8 << 20
-CACHE = 300_000
-"""Chunks of text whose ids a worker remembers."""
+CACHE, SLICE = 250_000, 1024
+"""Pieces of text whose ids a worker remembers, and texts that it encodes at a time."""
 GAMMA, BLOCK = 1.5, 512
 MANIFEST = "shard int, first_id long, last_id long, n_docs long, n_ids long"
 UNSAFE = r"^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$|<\|"
@@ -60,12 +59,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 4096):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+        return out
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with a space before it."""
         known = self.known
         missing = [p for p in pieces if p not in known]
@@ -94,8 +96,8 @@ class Encoder:
         codes = np.empty(len(flat), np.int64)
         codes[~mask] = rest.indices.to_numpy(zero_copy_only=False)
         codes[mask] = len(rest.dictionary) + np.arange(n)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids = np.fromiter(itertools.chain.from_iterable(pieces), self.dtype, int(size.sum()))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        ids = np.frombuffer(b"".join(pieces), self.dtype)
         first = np.cumsum(size) - size
         lens = size[codes]
         per = np.add.reduceat(lens, at[:-1]) + 1
@@ -243,7 +245,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end: int = 0, doc_id
     def write(batches):
         enc = encoder(tokenizer)
         ids, sizes, names, valid = [], [], [], []
-        for t in batches:
+        for t in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             a, starts = enc.encode(t.column(1), end)
             ids.append(a)
             sizes.append(np.diff(starts))
