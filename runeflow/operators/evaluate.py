@@ -30,24 +30,27 @@ def near_miss(begin: Column, end: Column, gold: Column) -> Column:
     return ~hit(begin, end, gold) & ((F.abs(begin - gold) == 2) | (F.abs(end - gold) == 2))
 
 
-def detection(alarms: DataFrame, gold: DataFrame, style_types: tuple[str, ...] = ("STYLE",)) -> DataFrame:
-    """EV8, EV9: (key, begin, end) against (key, pos, type, false_alarm) -> one row of counters, coverage and precision.
+def alarm_kinds(alarms: DataFrame, gold: DataFrame, style_types: tuple[str, ...] = ("STYLE",)) -> DataFrame:
+    """EV5, EV11: (key, begin, end, kind) for alarms (key, begin, end) against gold (key, pos, type, false_alarm).
 
-    An alarm is a detection if it meets a gold position of a countable type, a style detection if that type is style, a
-    false alarm if the position is marked as one or none is met, and not annotated if its key has no gold at all.
+    An alarm is ``detected`` if it meets a gold position of a countable type, ``style`` if that type is style, ``false`` if
+    the position is marked as a false alarm or none is met, and ``unannotated`` if its key has no gold at all.
     """
-    keys = gold.select("key").distinct().withColumn("annotated", F.lit(True))
     style = F.col("type").isin(*style_types)
+    met = hit(F.col("begin"), F.col("end"), F.col("pos")) & ~F.col("false_alarm")
     j = alarms.join(gold, "key", "left").groupBy("key", "begin", "end").agg(
-        F.coalesce(F.bool_or(hit(F.col("begin"), F.col("end"), F.col("pos")) & ~style & ~F.col("false_alarm")), F.lit(False)).alias("detects"),
-        F.coalesce(F.bool_or(hit(F.col("begin"), F.col("end"), F.col("pos")) & style & ~F.col("false_alarm")), F.lit(False)).alias("styles"),
+        F.coalesce(F.bool_or(met & ~style), F.lit(False)).alias("detects"), F.coalesce(F.bool_or(met & style), F.lit(False)).alias("styles"), (F.count("pos") > 0).alias("annotated")
     )
-    j = j.join(keys, "key", "left")
-    kind = F.when(F.col("annotated").isNull(), "unannotated").when(F.col("detects"), "detected").when(F.col("styles"), "style").otherwise("false")
-    counts = j.select(kind.alias("kind")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("detected", "style", "false", "unannotated")])
-    known = gold.where(~F.col("false_alarm")).groupBy("key").agg(F.min("pos").alias("p")).agg(F.count("*").alias("known"))
-    d, f, k = F.col("detected"), F.col("false"), F.col("known")
-    return counts.crossJoin(known).select("*", ratio(d, k).alias("coverage"), ratio(d, d + f).alias("precision"))  # one row each
+    kind = F.when(~F.col("annotated"), "unannotated").when(F.col("detects"), "detected").when(F.col("styles"), "style").otherwise("false")
+    return j.select("key", "begin", "end", kind.alias("kind"))
+
+
+def detection(alarms: DataFrame, gold: DataFrame, style_types: tuple[str, ...] = ("STYLE",)) -> DataFrame:
+    """EV8, EV9: one row of counters, coverage and precision; known errors: keys with gold that isn't a false alarm."""
+    counts = alarm_kinds(alarms, gold, style_types).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("detected", "style", "false", "unannotated")])
+    known = gold.where(~F.col("false_alarm")).agg(F.countDistinct("key").alias("known"))
+    d, f = F.col("detected"), F.col("false")
+    return counts.crossJoin(known).select("*", ratio(d, F.col("known")).alias("coverage"), ratio(d, d + f).alias("precision"))  # one row each
 
 
 def islands(positions: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
