@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeflow.llm import common as C
-from runeflow.llm.decontaminate import contaminated
-from runeflow.llm.language import UND, identify
+from runeflow.llm.decontaminate import clean
+from runeflow.llm.language import in_a_language
 from runeflow.llm.mixing import mix
 from runeflow.llm.near import near_duplicates
 from runeflow.llm.tokens import default_tokenizer, read_tokens, write_tokens
@@ -19,34 +19,27 @@ from runeflow.llm.tokens import default_tokenizer, read_tokens, write_tokens
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id has a row in ``verdict`` (doc_id); null ids have one if the verdict holds null."""
-    ids = verdict.groupBy("doc_id").agg(F.lit(1).alias("n")).select(F.col("doc_id").alias("_id"))
-    ids = C.materialize(ids, "ids")
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those with a letter in them."""
-    return _only(docs, identify(docs).where(F.col("lang_pred") != UND))
+    return in_a_language(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    return _only(docs, near_duplicates(docs).where("kept"))
+    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.lit(1).alias("n")).select(F.col("doc_id").alias("_id"))
+    kept = C.materialize(kept, "kept").hint("merge")  # as many as the corpus has documents: never broadcast
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    hit = contaminated(docs, C.table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.lit(1).alias("n")).select(F.col("doc_id").alias("_id"))
-    hit = C.materialize(hit, "hit")
-    return docs.select(*COLUMNS).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return clean(docs.select(*COLUMNS), C.table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a document taken twice is two equal rows."""
     taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = C.materialize(taken, "copies")
+    taken = C.materialize(taken, "copies").hint("merge")
     return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 

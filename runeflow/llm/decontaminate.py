@@ -172,6 +172,47 @@ def _blocks(bench: DataFrame, item_id: str, text: str) -> list[Items]:
     return out
 
 
+class Seeds(NamedTuple):
+    """For each n-gram of the items: its first entry, how many there are, and each entry's item and place."""
+
+    first: np.ndarray
+    count: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
+def _seeds(d: DataFrame, items: Items) -> Seeds:
+    """The items' n-grams that are rare enough in ``d``, by a scan that counts in how many documents each stands."""
+
+    def count(batches):
+        total = np.zeros(len(items.grams), np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = _Batch(whole.slice(lo, 1024).column(0), items)
+                once = np.unique(np.stack([b.w.doc[b.at], b.gram], 1), axis=0)[:, 1] if len(b.at) else b.at
+                total += np.bincount(once, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
+
+    df = np.zeros(len(items.grams), np.int64)  # bounded by the block of items
+    for r in d.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        df[r["gram"]] = r["n"]
+    rare = np.zeros(len(items.gram_of), bool)
+    for i in range(len(items.ids)):
+        own = np.flatnonzero(items.item_of == i)
+        if len(own):
+            n = df[items.gram_of[own]]
+            rare[own] = n <= RARE * (np.median(n[n > 0]) if n.any() else 1)
+    keep = np.flatnonzero(rare)
+    keep = keep[np.argsort(items.gram_of[keep], kind="stable")]
+    count_of = np.bincount(items.gram_of[keep], minlength=len(items.grams))
+    return Seeds(np.cumsum(count_of) - count_of, count_of, items.item_of[keep], items.place_of[keep])
+
+
+def _found(texts: pa.Array, items: Items, seeds: Seeds, score: float) -> list[tuple[int, int, float, int, int]]:
+    return align(_Batch(texts, items, seeds.count > 0), items, *seeds, score)
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a test item that it holds, as it is or edited.
 
@@ -184,35 +225,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id
     results = []
     for items in _blocks(bench, item_id, item_text):
 
-        def count(batches, items=items):
-            total = np.zeros(len(items.grams), np.int64)
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1024):
-                    b = _Batch(whole.slice(lo, 1024).column(0), items)
-                    once = np.unique(np.stack([b.w.doc[b.at], b.gram], 1), axis=0)[:, 1] if len(b.at) else b.at
-                    total += np.bincount(once, minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
-
-        df = np.zeros(len(items.grams), np.int64)  # bounded by the block of items
-        for r in d.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            df[r["gram"]] = r["n"]
-        rare = np.zeros(len(items.gram_of), bool)
-        for i in range(len(items.ids)):
-            own = np.flatnonzero(items.item_of == i)
-            if len(own):
-                n = df[items.gram_of[own]]
-                rare[own] = n <= RARE * (np.median(n[n > 0]) if n.any() else 1)
-        keep = np.flatnonzero(rare)
-        keep = keep[np.argsort(items.gram_of[keep], kind="stable")]
-        seed_count = np.bincount(items.gram_of[keep], minlength=len(items.grams))
-        seeds = (np.cumsum(seed_count) - seed_count, seed_count, items.item_of[keep], items.place_of[keep])
-
-        def pairs(batches, items=items, seeds=seeds):
+        def pairs(batches, items=items, seeds=_seeds(d, items)):
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1024):
                     t = whole.slice(lo, 1024)
-                    rows = align(_Batch(t.column(1), items, seeds[1] > 0), items, *seeds, score)
+                    rows = _found(t.column(1), items, seeds, score)
                     if rows:
                         text_no, item_no, share, begin, end = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -227,6 +244,24 @@ def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id
     return out
 
 
+def clean(docs: DataFrame, bench: DataFrame, score: float = SCORE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, that hold no test item; judged where they are read, without a join."""
+    d = docs.select(F.col(text).alias("text"))
+    at = docs.columns.index(text)
+    for items in _blocks(bench, item_id, item_text):
+
+        def free(batches, items=items, seeds=_seeds(d, items)):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1024):
+                    t = whole.slice(lo, 1024)
+                    keep = np.ones(t.num_rows, bool)
+                    keep[[r[0] for r in _found(t.column(at), items, seeds, score)]] = False
+                    yield t.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(free, docs.schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 

@@ -172,6 +172,34 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> Da
     return rows.where(u < share[F.col(label)]) if n else rows.limit(0)
 
 
+def learn(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> Model:
+    """Fits the trees to the rows with a language outside the held-out fold, at most about ``rows`` of each language."""
+    t = train.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    t = t.where((fold_of("doc_id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= CHARS))
+    return fit([(r["lang"], r["text"]) for r in bounded_sample(t, "lang", rows, 4).select("lang", "text").collect()])
+
+
+def predict(m: Model, texts: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, bits and bytes of each text."""
+    data, offsets = C.utf8(texts)
+    n = len(offsets) - 1
+    some = letters.to_numpy(zero_copy_only=False).astype(bool)
+    names, score, least = np.full(n, UND, object), np.zeros(n), np.zeros(n)
+    if m.langs and n:
+        bits = code_lengths(m, data, offsets)
+        best = bits.argmin(1)
+        least = bits[np.arange(n), best]
+        scale = np.minimum(1, SHARP / np.maximum(np.diff(offsets), 1))
+        p = 1 / np.exp2(-np.minimum((bits - least[:, None]) * scale[:, None], 1000)).sum(1)
+        names = np.where(some, np.array(m.langs, object)[best], UND)
+        score = np.where(some, p, 0.0)
+    return names, score, least, np.diff(offsets)
+
+
+def has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, train: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> DataFrame:
     """The language of every whole text, learned from the rows of ``train`` (default: ``docs``) with a language and outside the held-out fold.
 
@@ -181,39 +209,37 @@ def identify(docs: DataFrame, train: DataFrame | None = None, doc_id: str = "doc
     in longer texts.  Learning reads at most about ``rows`` texts of each language, chosen by hash, of at most 20,000
     characters.  A null id is not held out.  ``lang`` takes no part in a prediction; other columns are not read.
     """
-    t = (docs if train is None else train).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    t = t.where((fold_of("doc_id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= CHARS))
-    m = fit([(r["lang"], r["text"]) for r in bounded_sample(t, "lang", rows, 4).select("lang", "text").collect()])
-    shared = docs.sparkSession.sparkContext.broadcast(m)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs if train is None else train, doc_id, text, lang, rows))  # bounded by the sample
 
     def run(batches):
-        m = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                data, offsets = C.utf8(b.column(2))
-                n = len(offsets) - 1
-                letters = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                names, score, least = np.full(n, UND, object), np.zeros(n), np.zeros(n)
-                if m.langs:
-                    bits = code_lengths(m, data, offsets)
-                    best = bits.argmin(1)
-                    least = bits[np.arange(n), best]
-                    scale = np.minimum(1, SHARP / np.maximum(np.diff(offsets), 1))
-                    p = 1 / np.exp2(-np.minimum((bits - least[:, None]) * scale[:, None], 1000)).sum(1)
-                    names = np.where(letters, np.array(m.langs, object)[best], UND)
-                    score = np.where(letters, p, 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(least), pa.array(np.diff(offsets))], ["doc_id", "held_out", "lang_pred", "score", "bits", "n_bytes"])
-
-    d = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(fold_of(doc_id) == 0, F.lit(False)).alias("held_out"),
-        F.col(text).alias("text"),
-        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-    )
+                names, score, least, size = predict(shared.value, b.column(2), b.column(3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(least), pa.array(size)], ["doc_id", "held_out", "lang_pred", "score", "bits", "n_bytes"])
+
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(fold_of(doc_id) == 0, F.lit(False)).alias("held_out"), F.col(text).alias("text"), has_letter(text).alias("letters"))
     return d.mapInArrow(run, OUT)
 
 
+def in_a_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose language isn't ``und``; judged where they are read, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, doc_id, text, lang))
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                found = predict(shared.value, b.column(at), b.column(len(names)))[0]
+                yield b.select(list(range(len(names)))).filter(pa.array(found != UND))
+
+    flag = "_letters"
+    while flag in names:
+        flag += "_"
+    return docs.withColumn(flag, has_letter(text)).mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(C.table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
