@@ -19,7 +19,8 @@ from . import common as C
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 128
 """Ranges of a hash by which documents of one source and size are ranked, so that no window holds a hot group."""
-FIXES = 4
+FIXES = 24
+"""Rounds, at most, in which one size of each source makes up for what rounding left over; they end once none helps."""
 TOLERANCE = 1e-9
 
 
@@ -86,8 +87,8 @@ def rounded(rates: DataFrame, goals: DataFrame, cap: int) -> DataFrame:
     """(key, size, n, rate) -> (key, size, n, copies): whole copies of all n documents together.
 
     Running sums of the rates, from long documents to short ones, are rounded, so the words taken differ from the target
-    by half of the longest document at most; then, a few times over, the size that fits the difference best gives or
-    takes some copies.
+    by half of the longest document at most; then, round by round, the size that fits the rest best gives or takes
+    some copies.
     """
     w = Window.partitionBy("key").orderBy(F.desc("size"))
     ideal = F.col("n") * F.col("rate")
@@ -103,6 +104,8 @@ def rounded(rates: DataFrame, goals: DataFrame, cap: int) -> DataFrame:
         a = a.withColumn("k", k).withColumn("left", F.abs(F.abs("off") - F.col("k") * F.col("size"))).where(F.col("left") < F.abs("off") - 1e-6)
         best = a.groupBy("key").agg(F.min(F.struct("left", "size", (F.signum("off") * F.col("k")).cast("long").alias("k"))).alias("b"))
         best = C.materialize(best.select("key", F.col("b.size").alias("size"), F.col("b.k").alias("k")), "fix")
+        if not best.limit(1).count():
+            break
         t = C.materialize(t.join(best, ["key", "size"], "left").select("key", "size", "n", (F.col("copies") + F.coalesce("k", F.lit(0))).alias("copies")), "copies")
     return t
 
