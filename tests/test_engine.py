@@ -165,3 +165,14 @@ def test_no_state_between_runs(spark):
     a = toks_of(spark, ["En hus."]).collect()
     toks_of(spark, ["Iledning."]).collect()
     assert a == toks_of(spark, ["En hus."]).collect()
+
+
+def test_parameter_search():
+    from runeflow.operators import optimize as O
+
+    f = lambda xs: [-((x - 3) ** 2) for x in xs]
+    assert abs(O.linear(f, 1.0, 8.0)[0] - 3) < 0.1 and abs(O.golden(f, 1.0, 9.0)[0] - 3) < 0.02
+    assert O.integer(lambda xs: [-abs(x - 4.5) for x in xs], 1, 9)[0] == 4
+    best, _ = O.coordinate_ascent(lambda p: -((p["a"] - 2) ** 2) - (p["b"] - 5) ** 2, {"a": 1.0, "b": 1.0}, ["a", "b"])
+    assert abs(best["a"] - 2) < 0.3 and abs(best["b"] - 5) < 0.5
+    assert 0.5 <= O.randomized(1.0, 2.0, random.Random(1)) <= 1.5
