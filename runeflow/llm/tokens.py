@@ -16,6 +16,7 @@ under a temporary name and renamed, so a task that is run again replaces its own
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ from . import hashing as H
 
 MAGIC = b"RUNEID01"
 SHARD_BYTES = 8 << 20
-CACHE, SLICE = 250_000, 1024
+CACHE, SLICE = 200_000, 1024
 """Pieces of text whose ids a worker remembers, and texts that it encodes at a time."""
 GAMMA, BLOCK = 1.5, 512
 MANIFEST = "shard int, first_id long, last_id long, n_docs long, n_ids long"
@@ -54,12 +55,18 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token stands for a byte
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -67,15 +74,29 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
         return out
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it, from texts that hold many pieces: no token crosses into the next piece, so their lengths in bytes tell them apart."""
+        out = []
+        for lo in range(0, len(pieces), 2048):
+            some = pieces[lo : lo + 2048]
+            text = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            raw = np.frombuffer((text + " ").encode(), np.uint8)
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.flatnonzero(raw == 32)[1:]) + 1  # a piece ends with the token that reaches the next space
+            flat, ends = ids.tobytes(), (cuts * self.width).tolist()
+            out += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with a space before it."""
-        known = self.known
-        missing = [p for p in pieces if p not in known]
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = pieces
-        known.update(zip(missing, self._encode([" " + p for p in missing]), strict=True))
-        return [known[p] for p in pieces]
+        out = [self.known.get(p) or self.before.get(p) for p in pieces]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(missing, self._joined([pieces[i] for i in missing]), strict=True):
+            out[i] = ids
+        self.known.update(zip(pieces, out, strict=True))
+        if len(self.known) > CACHE:  # what is used again moves on, the rest is forgotten with the next turn
+            self.known, self.before = {}, self.known
+        return out
 
     def encode(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, each closed by ``end``; and where each text begins (one more at the end)."""
