@@ -35,7 +35,7 @@ from . import hashing as H
 
 MAGIC = b"RUNEID01"
 SHARD_BYTES = 8 << 20
-CACHE, SLICE = 200_000, 1024
+CACHE, SLICE = 400_000, 4096
 """Pieces of text whose ids a worker remembers, and texts that it encodes at a time."""
 GAMMA, BLOCK = 1.5, 512
 MANIFEST = "shard int, first_id long, last_id long, n_docs long, n_ids long"
@@ -114,17 +114,22 @@ class Encoder:
         mask[at[:-1]] = True
         rest = flat.filter(pa.array(~mask)).dictionary_encode()
         pieces = self._pieces(rest.dictionary.to_pylist()) + self._encode(heads)
-        codes = np.empty(len(flat), np.int64)
-        codes[~mask] = rest.indices.to_numpy(zero_copy_only=False)
-        codes[mask] = len(rest.dictionary) + np.arange(n)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        pieces.append(np.array([end], self.dtype).tobytes())
+        codes = np.empty(len(flat) + n, np.int32)
+        closing = at[1:] + np.arange(n)  # after the pieces of each text its end
+        opening = at[:-1] + np.arange(n)
+        inner = np.ones(len(codes), bool)
+        inner[closing] = inner[opening] = False
+        codes[inner] = rest.indices.to_numpy(zero_copy_only=False)
+        codes[opening] = len(rest.dictionary) + np.arange(n)
+        codes[closing] = len(pieces) - 1
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces)) // self.width
         ids = np.frombuffer(b"".join(pieces), self.dtype)
-        first = np.cumsum(size) - size
+        first = np.cumsum(size, dtype=np.int64) - size
         lens = size[codes]
-        per = np.add.reduceat(lens, at[:-1]) + 1
-        starts = np.r_[0, np.cumsum(per)]
-        out = np.full(int(starts[-1]), end, self.dtype)
-        out[np.arange(int(lens.sum())) + np.repeat(np.arange(n), per - 1)] = ids[C.ragged(first[codes], lens)]
+        ends = np.cumsum(lens, dtype=np.int64)
+        out = ids[np.arange(ends[-1]) + np.repeat(first[codes] - (ends - lens), lens)]
+        starts = np.r_[0, ends[closing]]
         return out, starts
 
 
