@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "suffixes", "near", "neighbours", "tokens", "shuffle", "mixing", "decontaminate", "language", "quality")
+MODULES = ("windows", "suffixes", "near", "neighbours", "tokens", "shuffle", "mixing", "decontaminate", "language", "quality", "oracles")
 
 
 def queries() -> dict:
