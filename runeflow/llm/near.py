@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from . import common as C
 from . import hashing as H
@@ -210,6 +211,13 @@ def _everywhere(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1))).drop("n")
 
 
+def _together(left: DataFrame, right: DataFrame, key: str) -> PandasCogroupedOps:
+    """Cogrouped by key and block, dealt to a stated number of tasks: the work is in the comparisons, so few bytes must not make few tasks."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (df.repartition(n, key, "block").groupBy(key, "block") for df in (left, right))
+    return a.cogroup(b)
+
+
 def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that join components which share a bucket.
 
@@ -246,7 +254,7 @@ def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFr
         return pa.table({"x": pa.array(out_x, pa.int64()), "c": pa.array(out_c, pa.int64())})
 
     left, right = sketch(_everywhere(apart, sizes, "band"), "x"), sketch(_blocks(others, sizes, "band", "y"), "y")
-    some = left.groupBy("band", "block").cogroup(right.groupBy("band", "block")).applyInArrow(screen, "x long, c long")
+    some = _together(left, right, "band").applyInArrow(screen, "x long, c long")
     some = C.materialize(some.groupBy("x", "c").agg(F.lit(1).alias("n")).select("x", "c"), "across")
     targets = some.groupBy("c").agg(F.lit(1).alias("one")).select("c")
     member = classes.select("node").join(comp, "node", "left").select(F.col("node").alias("y"), F.coalesce("component", "node").alias("c")).join(C.materialize(targets, "targets"), "c")
@@ -267,7 +275,7 @@ def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFr
 
     of = lambda df, c: df.join(full.select(F.col("row_id").alias(c), F.col("shingles").alias("shingles")), c)
     left, right = of(_everywhere(some, sizes, "c"), "x"), of(_blocks(member, sizes, "c", "y"), "y")
-    return left.groupBy("c", "block").cogroup(right.groupBy("c", "block")).applyInArrow(check, "a long, b long")
+    return _together(left, right, "c").applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
