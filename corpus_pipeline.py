@@ -25,7 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows that share an id are one document and stay or go together.
+    """
     kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.lit(1).alias("n")).select(F.col("doc_id").alias("_id"))
     kept = C.materialize(kept, "kept").hint("merge")  # as many as the corpus has documents: never broadcast
     return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -37,8 +40,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a document taken twice is two equal rows."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    """Documents as often as the mix takes them; a document taken twice is two equal rows.
+
+    Rows that share an id are each taken as often as the one of them that is taken most.
+    """
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
     taken = C.materialize(taken, "copies").hint("merge")
     return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
