@@ -1,10 +1,9 @@
-"""Benchmark decontamination (operator 2): rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination (operator 2): n-gram seeds, then Smith-Waterman alignment of words.
 
-The test items, in blocks of bounded size, are held by every task; the corpus is only scanned, never shuffled.  A first
-scan counts in how many documents each n-gram of the items occurs.  Those not much more frequent than the
-item's median are its seeds: relative to the item, so that an item that leaked into a third of the corpus keeps seeds too.  A second scan aligns an
-item with the passages around its seeds, allowing for changed, dropped and added words, and reports pairs whose score is
-a large enough share of the item's own.
+The test items, in blocks of bounded size, are held by every task; the corpus is only scanned, never shuffled.  Every
+n-gram of an item is a seed, however frequent it is: the n-grams that an edited copy keeps may be the most frequent ones
+of its item.  An item is aligned with the passages around its seeds, allowing for changed, dropped and added words, unless
+they hold too few of its words to reach the score; pairs are reported whose score is a large enough share of the item's own.
 """
 
 from __future__ import annotations
@@ -22,10 +21,10 @@ from . import hashing as H
 NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.4
-RARE = 4
-"""Seeds: n-grams in at most so many times the documents of the item's median n-gram, among those that occur."""
 ITEM_BYTES = 4 << 20
 """Bytes of items that tasks hold at a time; a larger benchmark is done in several scans."""
+HITS = 1 << 20
+"""Places of seeds that a task looks at together."""
 OUT = "doc_id long, item_id long, score double, begin int, end int"
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -60,6 +59,9 @@ class Items(NamedTuple):
     gram_of: np.ndarray  # for each n-gram of each item: its number in grams,
     item_of: np.ndarray  # its item
     place_of: np.ndarray  # and its place there
+    words: np.ndarray  # sorted distinct words
+    keys: np.ndarray  # sorted item * len(words) + word, of the words of each item
+    times: np.ndarray  # how often the item has that word
 
 
 def read_items(ids: list[int | None], texts: list[str | None]) -> Items:
@@ -69,13 +71,15 @@ def read_items(ids: list[int | None], texts: list[str | None]) -> Items:
     h = H.word_hashes(data, w)
     at = np.flatnonzero(w.count[w.doc] - w.place >= NGRAM)
     grams, which = np.unique(H.windows(h, NGRAM)[at] if len(at) else np.zeros(0, H.U), return_inverse=True)
-    return Items(ids, h, w.first, w.count, grams, which, w.doc[at], w.place[at])
+    words, no = np.unique(h, return_inverse=True)
+    keys, times = np.unique(w.doc * len(words) + no, return_counts=True)
+    return Items(ids, h, w.first, w.count, grams, which, w.doc[at], w.place[at], words, keys, times)
 
 
 class _Batch:
     """Words of a batch of texts and the places at which an n-gram of the items stands."""
 
-    def __init__(self, texts: pa.Array, items: Items, wanted: np.ndarray | None = None) -> None:
+    def __init__(self, texts: pa.Array, items: Items) -> None:
         data, offsets = C.utf8(texts)
         data = plain(data)
         self.w = w = H.Words(data, offsets)
@@ -83,11 +87,11 @@ class _Batch:
         grams = H.windows(self.h, NGRAM)
         at = np.minimum(np.searchsorted(items.grams, grams), max(len(items.grams) - 1, 0))
         hit = items.grams[at] == grams if len(items.grams) else np.zeros(len(grams), bool)
-        if wanted is not None and len(wanted):
-            hit &= wanted[at]
         hit &= (w.count[w.doc] - w.place >= NGRAM)[: len(grams)]
         self.at = np.flatnonzero(hit)
         self.gram = at[self.at]
+        self.word = np.minimum(np.searchsorted(items.words, self.h), max(len(items.words) - 1, 0))
+        self.word[items.words[self.word] != self.h if len(items.words) else slice(None)] = -1
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,30 +123,92 @@ def _padded(values: np.ndarray, first: np.ndarray, count: np.ndarray, fill: int)
     return out
 
 
-def align(b: _Batch, items: Items, seed_first: np.ndarray, seed_count: np.ndarray, seed_item: np.ndarray, seed_place: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+class Seeds(NamedTuple):
+    """The n-grams of all items, by n-gram and item."""
+
+    key: np.ndarray  # n-gram * number of items + item
+    item: np.ndarray
+    place: np.ndarray
+    count: np.ndarray  # of each n-gram
+
+
+def seeds_of(items: Items) -> Seeds:
+    key = items.gram_of * len(items.ids) + items.item_of
+    order = np.argsort(key, kind="stable")
+    return Seeds(key[order], items.item_of[order], items.place_of[order], np.bincount(items.gram_of, minlength=len(items.grams)))
+
+
+def _enough(b: _Batch, items: Items, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+    """Whether each passage could score ``least``: a bound, as if all words that it shares with the item were aligned."""
+    which = np.repeat(np.arange(len(doc)), end - begin)
+    word = b.word[C.ragged(b.w.first[doc] + begin, end - begin)]
+    which, word = which[word >= 0], word[word >= 0]
+    key = item[which] * len(items.words) + word
+    at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
+    here = items.keys[at] == key
+    shared, n = np.unique(which[here] * len(items.keys) + at[here], return_counts=True)
+    matches = np.bincount(shared // len(items.keys), np.minimum(n, items.times[shared % len(items.keys)]), len(doc))
+    return MATCH * matches / (MATCH * items.count[item]) >= least
+
+
+def _passages(b: _Batch, items: Items, seeds: Seeds, hits: slice, lo: int, hi: int, least: float) -> np.ndarray:
+    """(text, item, begin, end) of the passages around the seeds at ``hits`` of the items lo to hi - 1 that could score ``least``."""
+    w, n_items = b.w, len(items.ids)
+    gram = b.gram[hits]
+    first = np.searchsorted(seeds.key, gram * n_items + lo)
+    n = np.searchsorted(seeds.key, gram * n_items + hi) - first
+    s = C.ragged(first, n)
+    if not len(s):
+        return np.zeros((0, 4), np.int64)
+    at = np.repeat(b.at[hits], n)
+    # seeds on one diagonal have one passage
+    t = np.unique(np.stack([w.doc[at], seeds.item[s], w.place[at] - seeds.place[s]], 1), axis=0)
+    doc, item, m = t[:, 0], t[:, 1], items.count[t[:, 1]]
+    pad = m // 4 + 2
+    begin, end = np.maximum(t[:, 2] - pad, 0), np.minimum(t[:, 2] + m + pad, w.count[doc])
+    run = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])])
+    last = np.r_[run[1:], len(t)] - 1
+    could = _enough(b, items, doc[run], item[run], begin[run], end[last], least)
+    short = end[last] - begin[run] <= 3 * m[run] + 8
+    whole = could & short
+    out = [np.stack([doc[run], item[run], begin[run], end[last]], 1)[whole]]
+    # passages that overlap are one passage, cut where it would exceed thrice the item
+    parts: list[list[int]] = []
+    for j, k in zip(run[could & ~short].tolist(), last[could & ~short].tolist(), strict=True):
+        size = 3 * int(m[j]) + 8
+        parts.append([int(doc[j]), int(item[j]), int(begin[j]), int(end[j])])
+        for p, q in zip(begin[j + 1 : k + 1].tolist(), end[j + 1 : k + 1].tolist(), strict=True):
+            if q - parts[-1][2] <= size:
+                parts[-1][3] = q
+            else:
+                parts.append([int(doc[j]), int(item[j]), p, q])
+    if parts:
+        t = np.array(parts)
+        out.append(t[_enough(b, items, *t.T, least)])
+    return np.concatenate(out)
+
+
+def align(b: _Batch, items: Items, seeds: Seeds, least: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, begin, end) of each text and item that align well enough; word places in the text."""
     if not len(b.at):
         return []
     w = b.w
-    n = seed_count[b.gram]
-    at = np.repeat(b.at, n)
-    s = C.ragged(seed_first[b.gram], n)
-    item, doc = seed_item[s], w.doc[at]
-    m = items.count[item]
-    pad = m // 4 + 2
-    begin = np.maximum(w.place[at] - seed_place[s] - pad, 0)
-    end = np.minimum(w.place[at] - seed_place[s] + m + pad, w.count[doc])
-    order = np.lexsort((begin, item, doc))
-    begin, end, item, doc = begin[order], end[order], item[order], doc[order]
-    # hits of one text and item whose passages overlap are one passage, cut where it would exceed thrice the item
-    passages: list[list[int]] = []
-    for d, i, p, q, m in zip(doc.tolist(), item.tolist(), begin.tolist(), end.tolist(), items.count[item].tolist(), strict=True):
-        if passages and passages[-1][:2] == [d, i] and p <= passages[-1][3] and max(q, passages[-1][3]) - passages[-1][2] <= 3 * m + 8:
-            passages[-1][3] = max(q, passages[-1][3])
-        else:
-            passages.append([d, i, p, q])
+    n_items = len(items.ids)
+    total = np.cumsum(seeds.count[b.gram])
+    ends = np.flatnonzero(np.r_[w.doc[b.at[1:]] != w.doc[b.at[:-1]], True]) + 1  # hits of one text stay together
+    t, lo = [], 0
+    while lo < len(b.at):
+        before = total[lo - 1] if lo else 0
+        k = int(np.searchsorted(ends, np.searchsorted(total, before + HITS, "right"), "right")) - 1
+        hi = int(ends[k]) if k >= 0 and ends[k] > lo else int(ends[np.searchsorted(ends, lo, "right")])
+        step = max(1, n_items // -(-int(total[hi - 1] - before) // HITS))
+        for i in range(0, n_items, step):
+            t.append(_passages(b, items, seeds, slice(lo, hi), i, min(i + step, n_items), least))
+        lo = hi
+    t = np.concatenate(t)
+    if not len(t):
+        return []
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    t = np.array(passages)
     t = t[np.argsort(t[:, 3] - t[:, 2], kind="stable")]
     for lo in range(0, len(t), 256):
         d, i, p, q = t[lo : lo + 256].T
@@ -172,45 +238,8 @@ def _blocks(bench: DataFrame, item_id: str, text: str) -> list[Items]:
     return out
 
 
-class Seeds(NamedTuple):
-    """For each n-gram of the items: its first entry, how many there are, and each entry's item and place."""
-
-    first: np.ndarray
-    count: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-
-
-def _seeds(d: DataFrame, items: Items) -> Seeds:
-    """The items' n-grams that are rare enough in ``d``, by a scan that counts in how many documents each stands."""
-
-    def count(batches):
-        total = np.zeros(len(items.grams), np.int64)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = _Batch(whole.slice(lo, 1024).column(0), items)
-                once = np.unique(np.stack([b.w.doc[b.at], b.gram], 1), axis=0)[:, 1] if len(b.at) else b.at
-                total += np.bincount(once, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
-
-    df = np.zeros(len(items.grams), np.int64)  # bounded by the block of items
-    for r in d.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        df[r["gram"]] = r["n"]
-    rare = np.zeros(len(items.gram_of), bool)
-    for i in range(len(items.ids)):
-        own = np.flatnonzero(items.item_of == i)
-        if len(own):
-            n = df[items.gram_of[own]]
-            rare[own] = n <= RARE * (np.median(n[n > 0]) if n.any() else 1)
-    keep = np.flatnonzero(rare)
-    keep = keep[np.argsort(items.gram_of[keep], kind="stable")]
-    count_of = np.bincount(items.gram_of[keep], minlength=len(items.grams))
-    return Seeds(np.cumsum(count_of) - count_of, count_of, items.item_of[keep], items.place_of[keep])
-
-
 def _found(texts: pa.Array, items: Items, seeds: Seeds, score: float) -> list[tuple[int, int, float, int, int]]:
-    return align(_Batch(texts, items, seeds.count > 0), items, *seeds, score)
+    return align(_Batch(texts, items), items, seeds, score)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -225,7 +254,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id
     results = []
     for items in _blocks(bench, item_id, item_text):
 
-        def pairs(batches, items=items, seeds=_seeds(d, items)):
+        def pairs(batches, items=items, seeds=seeds_of(items)):
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1024):
                     t = whole.slice(lo, 1024)
@@ -246,11 +275,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id
 
 def clean(docs: DataFrame, bench: DataFrame, score: float = SCORE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows of ``docs``, with all their columns, that hold no test item; judged where they are read, without a join."""
-    d = docs.select(F.col(text).alias("text"))
     at = docs.columns.index(text)
     for items in _blocks(bench, item_id, item_text):
 
-        def free(batches, items=items, seeds=_seeds(d, items)):
+        def free(batches, items=items, seeds=seeds_of(items)):
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1024):
                     t = whole.slice(lo, 1024)

@@ -116,6 +116,30 @@ def test_decontamination_of_edited_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == want
 
 
+def test_decontamination_of_a_frequent_edited_copy(spark, monkeypatch):
+    """One edited copy in many documents and one unedited leak: what the copy keeps is the frequent minority of the n-grams."""
+    rng = random.Random(4)
+    items = [f"{data.words(rng, 30, 3000)} and so on and on" for _ in range(12)]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        w = item.split()
+        for k in range(1, 30, 5):
+            w[k] = f"y{i}"
+            w[k + 2] = f"z{i}"
+        copies = [item, *[" ".join(w)] * 20]
+        want |= {(100 * i + k, i) for k in range(21)}
+        rows += [(100 * i + k, f"{data.words(rng, 60, 3000)} {x} {data.words(rng, 20, 3000)}") for k, x in enumerate(copies)]
+    rows += [(2000 + i, f"and so on and on {data.words(rng, 60, 3000)} and so on and on") for i in range(40)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == set(range(2000, 2040))
+    it = decontaminate.read_items(list(range(len(items))), items)
+    batch = decontaminate._Batch(pa.array([x for _, x in rows]), it)
+    found = decontaminate.align(batch, it, decontaminate.seeds_of(it), 0.4)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    assert found == decontaminate.align(batch, it, decontaminate.seeds_of(it), 0.4) and {(rows[f[0]][0], f[1]) for f in found} == want
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(20):
