@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runeflow.config import TAGGING, TaggingConfig
 
@@ -57,6 +58,38 @@ def viterbi(m: Model, readings: list[list[tuple[int, float]]]) -> tuple[list[int
     return path[::-1][: len(readings)], best
 
 
+def viterbi_batch(m: Model, triple: np.ndarray, tags: np.ndarray, lex: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As viterbi, for many sentences at once: tag numbers of all tokens and the log score of each sentence.
+
+    triple: scores of all triples; tags, lex: (tokens, most readings), by tag number, padded with a score of -inf; the sentences'
+    first tokens and their numbers of tokens, longest sentence first.
+    """
+    edge, size = m.tags.index(EDGE), tags.shape[1]
+    before = last = np.full((len(first), 1), edge)
+    score = np.zeros((len(first), 1, 1))
+    best, back = np.zeros(len(first)), []
+    for i in range(int(count[0]) + 2):
+        k = int(np.searchsorted(-count, 2 - i, "left"))  # count + 2 > i
+        at = first[:k] + np.minimum(i, count[:k] - 1)
+        cur, here = tags[at], lex[at]
+        over = i >= count[:k]
+        cur[over], here[over] = edge, np.r_[0.0, [-np.inf] * (size - 1)]
+        s = score[:k, :, :, None] + triple[before[:k, :, None, None], last[:k, None, :, None], cur[:, None, None, :]] + here[:, None, None, :]
+        score = s.max(1)
+        back.append((s > score[:, None] - 1e-12).argmax(1).astype(np.int16))
+        before, last = last[:k], cur
+        done = count[:k] + 1 == i
+        best[:k][done] = score[done, 0, 0]
+    path = np.zeros(len(tags), np.int64)
+    a, b = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    for i in range(len(back) - 1, -1, -1):
+        k = len(back[i])
+        inside = np.flatnonzero(i < count[:k])
+        path[first[inside] + i] = tags[first[inside] + i, b[inside]]
+        a[:k], b[:k] = back[i][np.arange(k), a[:k], b[:k]], a[:k].copy()
+    return path, best
+
+
 def top_readings(lexical: DataFrame, n: int) -> DataFrame:
     """DE6: the n likeliest readings of each word."""
     w = Window.partitionBy("word").orderBy(F.desc("lex"), "tag")
@@ -69,29 +102,68 @@ def capital_factor(capped: Column, proper: Column, known: Column, c: TaggingConf
     return F.when(known & fits, c.alpha_cap).when(known, c.alpha_no_cap).when(fits, c.alpha_unknown_cap).otherwise(c.alpha_unknown_no_cap)
 
 
+MOST, LONGEST, TOGETHER = 6, 400, 1024
+"""Sentences with more readings of a token, a token without any, or more tokens are decoded one by one, others so many together."""
+
+
+def _decoded(m: Model, triple: np.ndarray, readings: pa.ListArray) -> tuple[pa.ListArray, np.ndarray]:
+    """Tags and log scores of the sentences of a batch."""
+    count = np.diff(np.asarray(readings.offsets)).astype(np.int64)
+    tokens = readings.flatten()
+    n = np.diff(np.asarray(tokens.offsets)).astype(np.int64)
+    flat = tokens.flatten()
+    no = {x: i for i, x in enumerate(m.tags)}
+    code = flat.field("tag").dictionary_encode()
+    number = np.array([no.get(x, -1) for x in code.dictionary.to_pylist()] or [0])[np.asarray(code.indices)]
+    value = np.log(np.maximum(np.asarray(flat.field("lex")), 1e-300))
+    token = np.repeat(np.arange(len(n)), n)[number >= 0]
+    number, value = number[number >= 0], value[number >= 0]
+    order = np.lexsort((number, token))
+    token, number, value = token[order], number[order], value[order]
+    n = np.bincount(token, minlength=len(n))
+    start = np.cumsum(n) - n
+    first = np.cumsum(count) - count
+    most = np.maximum.reduceat(np.where(n == 0, MOST + 1, n), first) if len(first) else first
+    path, best = np.zeros(len(n), np.int64), np.zeros(len(count))
+    every = [(i, 0.0) for i, x in enumerate(m.tags) if x != EDGE]
+    alone = (most > MOST) | (count > LONGEST)
+    for k in np.flatnonzero(alone).tolist():
+        rs = [list(zip(number[start[i] : start[i] + n[i]].tolist(), value[start[i] : start[i] + n[i]].tolist(), strict=True)) or every for i in range(first[k], first[k] + count[k])]
+        path[first[k] : first[k] + count[k]], best[k] = viterbi(m, rs)
+    for size in np.unique(most[~alone]).tolist():
+        group = np.flatnonzero(~alone & (most == size))
+        group = group[np.argsort(-count[group], kind="stable")]
+        for lo in range(0, len(group), TOGETHER):
+            g = group[lo : lo + TOGETHER]
+            c = count[g]
+            at = np.repeat(first[g] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            slot = np.arange(size)
+            real = slot < n[at, None]
+            which = np.where(real, start[at, None] + slot, 0)
+            got, best[g] = viterbi_batch(m, triple, np.where(real, number[which], 0), np.where(real, value[which], -np.inf), np.cumsum(c) - c, c)
+            path[at] = got
+    tags = pa.DictionaryArray.from_arrays(pa.array(path.astype(np.int32)), pa.array(m.tags)).dictionary_decode()
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), tags), best
+
+
 def decode(sentences: DataFrame, model: Model) -> DataFrame:
-    """DE1, DE9: (doc_id, sent_id, readings array<array<struct<tag, lex>>>) -> (doc_id, sent_id, tags, log_prob); in Arrow batches.
+    """DE1, DE9: (..., readings array<array<struct<tag, lex>>>) -> (..., tags, log_prob); in Arrow batches.
 
-    A token without readings gets all tags alike.
+    Sentences have at least one token.  A token without readings gets all tags alike.
     """
     shared = sentences.sparkSession.sparkContext.broadcast(model)
+    others = [c for c in sentences.columns if c != "readings"]
 
     def run(batches):
         m = shared.value
-        no = {x: i for i, x in enumerate(m.tags)}
-        every = [(i, 0.0) for i, x in enumerate(m.tags) if x != EDGE]
-        known: dict[str, tuple[list[str], float]] = {}
-        for t in batches:
-            tags, probs = [], []
-            for rs in t.column("readings").to_pylist():
-                key = repr(rs)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    path, p = viterbi(m, [[(no[r["tag"]], float(np.log(max(r["lex"], 1e-300)))) for r in one if r["tag"] in no] or every for one in rs])
-                    known[key] = [m.tags[i] for i in path], p
-                tags.append(known[key][0])
-                probs.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("sent_id"), pa.array(tags, pa.list_(pa.string())), pa.array(probs, pa.float64())], ["doc_id", "sent_id", "tags", "log_prob"])
-
-    return sentences.select("doc_id", "sent_id", "readings").mapInArrow(run, "doc_id long, sent_id long, tags array<string>, log_prob double")
+        triple = np.repeat(m.pair[None], len(m.tags), 0)
+        for k, v in m.triple.items():
+            triple[k] = v
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                t = whole.slice(lo, 4096)
+                tags, probs = _decoded(m, triple, t.column("readings"))
+                yield pa.RecordBatch.from_arrays([*[t.column(c) for c in others], tags, pa.array(probs)], [*others, "tags", "log_prob"])
+
+    out = T.StructType([sentences.schema[c] for c in others]).add("tags", T.ArrayType(T.StringType())).add("log_prob", T.DoubleType())
+    return sentences.select(*others, "readings").mapInArrow(run, out)

@@ -10,6 +10,7 @@ from runeflow.functions import scan
 from runeflow.operators import decode as D
 from runeflow.operators import detect as P
 from runeflow.operators import evaluate as E
+from runeflow.operators import lexicon as L
 from runeflow.operators import ngrams as N
 from runeflow.plans.catalogue import query, table
 from runeflow.plans.model_queries import _P2, _P3, _SH, _UNI, _WT, _counts
@@ -31,16 +32,36 @@ def de7(spark, sf_dir):
     return N.word_tags(words(spark, sf_dir)).select("word", "tag", F.round(F.col("tag_freq") / F.col("tag_total") * f, 9).alias("score"))
 
 
-def _decoded(spark, sf_dir):
-    """Tokens of the benchmark table, tagged with a model of the documents: (doc_id, sent_id, pos, gold, tag, known)."""
+def guessed_readings(unknown, w):
+    """(word, capped) -> (word, capped, guess): readings by suffix, or by the members of each tag where no suffix is known; ``w`` are the words of the corpus."""
+    wt = N.word_tags(w)
+    suffixes = N.suffix_table(wt)
+    by_case = [L.unknown_readings(unknown.where(F.col("capped") == x), suffixes).select("word", F.lit(x).alias("capped"), "tag", F.col("score").alias("lex")) for x in (True, False)]
+    r = by_case[0].union(by_case[1])
+    members = wt.groupBy("tag").agg(F.count("*").alias("members"))
+    lex = F.lit(C.alpha_member) * F.col("members") * D.capital_factor(F.col("capped"), F.col("tag") == "word.cap", F.lit(False))
+    rest = unknown.join(r.select("word", "capped").distinct(), ["word", "capped"], "left_anti").crossJoin(F.broadcast(members))  # the tag set
+    return r.union(rest.select("word", "capped", "tag", lex.alias("lex"))).groupBy("word", "capped").agg(F.collect_list(F.struct("tag", "lex")).alias("guess"))
+
+
+def _decoded(spark, sf_dir, name="documents", doc_id="doc_id"):
+    """Tokens of a table, tagged with a model of the documents: (doc_id, sent_id, log_prob, pos, gold, tag, known, cls)."""
     uni, bi, tri = _counts(spark, sf_dir)
     model = D.read_model(N.bigram_scores(uni, bi), N.trigram_scores(uni, bi, tri))
     lex = D.top_readings(_lexical(N.word_tags(toks(spark, sf_dir))), C.known_readings).groupBy("word").agg(F.collect_list(F.struct("tag", "lex")).alias("rs"))
-    t = toks(spark, sf_dir, True, "benchmark", "item_id")
-    j = t.join(lex, F.col("norm") == F.col("word"), "left")
-    s = j.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("tag").alias("gold"), F.coalesce("rs", F.array()).alias("rs"), F.col("rs").isNotNull().alias("known"), "cls"))).alias("ts"))
-    tagged = D.decode(s.select("doc_id", "sent_id", F.transform("ts", lambda x: x["rs"]).alias("readings")), model)
-    return s.join(tagged, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "log_prob", F.explode(F.arrays_zip("ts", "tags")).alias("x")).select("doc_id", "sent_id", F.round("log_prob", 6).alias("log_prob"), F.col("x.ts.pos").alias("pos"), F.col("x.ts.gold").alias("gold"), F.col("x.tags").alias("tag"), F.col("x.ts.known").alias("known"), F.col("x.ts.cls").alias("cls"))
+    is_word = F.col("cls").isin(*scan.WORDS)
+    t = toks(spark, sf_dir, True, name, doc_id).select("doc_id", "sent_id", "pos", F.col("norm").alias("word"), F.col("tag").alias("gold"), "cls", (is_word & scan.first_capped(F.col("tok"))).alias("capped"))
+    j = t.join(lex, "word", "left")
+    cased = F.transform("rs", lambda x: F.struct(x["tag"].alias("tag"), (x["lex"] * D.capital_factor(F.col("capped"), x["tag"] == "word.cap", F.lit(True))).alias("lex")))
+    rs = F.when(is_word, cased).otherwise(F.col("rs"))
+    if name != "documents":  # the documents' own words are all in their lexicon
+        unknown = t.where(is_word).select("word", "capped").distinct().join(lex.select("word"), "word", "left_anti")
+        j = j.join(guessed_readings(unknown, words(spark, sf_dir)), ["word", "capped"], "left")
+        rs = F.coalesce(rs, F.when(is_word, F.col("guess")))
+    x = F.struct("pos", "gold", F.coalesce(rs, F.array()).alias("rs"), F.col("rs").isNotNull().alias("known"), "cls")
+    s = j.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(x)).alias("ts"))
+    s = s.select("doc_id", "sent_id", F.transform("ts", lambda x: x["rs"]).alias("readings"), F.transform("ts", lambda x: F.struct(x["pos"].alias("pos"), x["gold"].alias("gold"), x["known"].alias("known"), x["cls"].alias("cls"))).alias("ts"))
+    return D.decode(s, model).select("doc_id", "sent_id", F.round("log_prob", 6).alias("log_prob"), F.explode(F.arrays_zip("ts", "tags")).alias("x")).select("doc_id", "sent_id", "log_prob", F.col("x.ts.pos").alias("pos"), F.col("x.ts.gold").alias("gold"), F.col("x.tags").alias("tag"), F.col("x.ts.known").alias("known"), F.col("x.ts.cls").alias("cls"))
 
 
 @query("de1_viterbi_tags")
@@ -48,11 +69,22 @@ def de1(spark, sf_dir):
     return _decoded(spark, sf_dir)
 
 
+@query("de1_benchmark_tags")
+def de1_benchmark(spark, sf_dir):
+    """A table that the model wasn't fitted on, with unknown words."""
+    return _decoded(spark, sf_dir, "benchmark", "item_id")
+
+
 @query("ev2_tag_eval")
 def ev2(spark, sf_dir):
     return E.tagging(_decoded(spark, sf_dir).withColumn("is_punct", ~F.col("cls").isin(*scan.WORDS)))
 
 
+@query("ev2_benchmark_eval")
+def ev2_benchmark(spark, sf_dir):
+    return E.tagging(_decoded(spark, sf_dir, "benchmark", "item_id").withColumn("is_punct", ~F.col("cls").isin(*scan.WORDS)))
+
+
 _GUESS = ", mc AS (SELECT norm, arg_max(tag, (n, tag)) AS guess, sum(n) AS f FROM (SELECT norm, tag, count(*) AS n FROM tk GROUP BY ALL) GROUP BY norm), ge AS (SELECT tk.tag AS gold, mc.guess AS tag, f > 1 AS known, cls NOT IN ('simple_word', 'word', 'split_word', 'abbreviation') AS punct FROM tk JOIN mc USING (norm))"
 
 

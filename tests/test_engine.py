@@ -89,6 +89,42 @@ def test_viterbi_is_the_best_path():
         assert math.isclose(got, best) and math.isclose(score([(t, dict(r)[t]) for t, r in zip(path, readings, strict=True)]), best)
 
 
+def test_batches_decode_as_single_sentences(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    tags = sorted(["A", "B", "C", "D", decode.EDGE])
+    m = decode.Model(tags, np.array([[rng.uniform(-3, 0) for _ in tags] for _ in tags]), {tuple(rng.randrange(5) for _ in range(3)): rng.uniform(-3, 0) for _ in range(40)})
+    triple = np.repeat(m.pair[None], 5, 0)
+    for k, v in m.triple.items():
+        triple[k] = v
+    rows = [[[{"tag": t, "lex": rng.uniform(0.01, 1)} for t in rng.sample("ABCDX", rng.randrange(0 if i % 3 == 0 else 2, 4))] for _ in range(rng.randrange(1, 9))] for i in range(200)]
+    every = [(i, 0.0) for i, t in enumerate(tags) if t != decode.EDGE]
+    want = [decode.viterbi(m, [[(tags.index(r["tag"]), math.log(r["lex"])) for r in one if r["tag"] in tags] or every for one in rs]) for rs in rows]
+    kind = pa.list_(pa.list_(pa.struct([("tag", pa.string()), ("lex", pa.float64())])))
+    monkeypatch.setattr(decode, "TOGETHER", 16)
+    for most in (6, 2):
+        monkeypatch.setattr(decode, "MOST", most)
+        got, prob = decode._decoded(m, triple, pa.array(rows, kind).slice(10))
+        assert got.to_pylist() == [[tags[i] for i in path] for path, _ in want[10:]] and np.allclose(prob, [p for _, p in want[10:]])
+
+
+def test_tagger_decodes_documents_and_unknown_words(spark, tmp_path):
+    from runeflow.plans import catalogue
+
+    texts = [f"the tall man saw Anna{x}berg and walked . Then he talked !" for x in "abcdef"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the Lindberg balked , Xy and q .")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    q = catalogue.queries()
+    rows = q["de1_viterbi_tags"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == set(range(6)) and len(rows) == sum(len(t.split()) for t in texts) and all(r["known"] for r in rows)
+    assert q["ev2_tag_eval"](spark, str(tmp_path)).first()["n"] == len(rows)
+    new = {r["pos"]: r for r in q["de1_benchmark_tags"](spark, str(tmp_path)).collect()}
+    by_pos = [new[p] for p in sorted(new)]
+    assert [(r["tag"], r["known"]) for r in by_pos if r["gold"].startswith("word")] == [("word.low", True), ("word.cap", False), ("word.low", False), ("word.cap", False), ("word.low", True), ("word.low", False)]
+
+
 def test_inflection(spark):
     parsed = readers.inflection_rules("$ nn.sin nn.plu nn.gen\nreg  y,Vr 1 = ies -\n# note\nwhole ^ox 0 = en s")
     assert parsed[0].endings == ("y", "Vr") and parsed[1].forms == (("nn.sin", "="), ("nn.plu", "en"), ("nn.gen", "s"))
