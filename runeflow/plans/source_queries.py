@@ -28,6 +28,13 @@ def io14_wtl(spark, sf_dir):
     return lines.groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n")).where("n >= 20")
 
 
+@query("io14_wtl_all_lines", T + "SELECT md5(tok || chr(9) || tag || chr(9) || lower(tok)) AS line, count(*) AS n FROM tk GROUP BY 1")
+def io14_wtl_all(spark, sf_dir):
+    """IO14: every line, however rare; io14_wtl_lines shows the frequent ones."""
+    lines = sinks.wtl_lines(toks(spark, sf_dir).withColumn("lemma", F.lit(None).cast("string")))
+    return lines.groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n"))
+
+
 _XML = (
     (1, '<s ref="10"><annot><type>VERB</type><position pos="3"/></annot></s>'),
     (2, '<s ref="20"><annot><type>SPELL</type><type>STYLE</type><range from="4" to="6"/></annot><annot><type>LOOK_AT</type><position pos="FALSE_ALARM"/></annot></s>'),
