@@ -145,6 +145,23 @@ def lx18(spark, sf_dir):
     return s.join(seeds, "head").groupBy("word").agg(F.max_by("rule", "n").alias("rule"))
 
 
+@query(
+    "lx18_guess_rules_all_heads",
+    W + _RT + """, hd AS (SELECT v.word, ap.rule_no, n FROM (SELECT word, unnest(range(1, length(word))) AS n FROM vo) v JOIN ap ON ap.word = right(v.word, n))
+SELECT word, min(name) AS rule FROM (SELECT word, rule_no FROM hd QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC) = 1) JOIN rt USING (rule_no) GROUP BY word""",
+)
+def lx18_all(spark, sf_dir):
+    """Longer words take the rule of the longest word that they end in, of any length.
+
+    A rule that a compound head was given is that of the longest word with a rule of its own that the head ends in, and
+    longer words which end in the head end in that word too: so one pass gives what passing rules on by length would.
+    """
+    v = _vocabulary(spark, sf_dir)
+    heads = L.applicable(v, L.rule_table(spark, RULES)).select(F.col("word").alias("head"), "rule")
+    s = v.where("length(word) > 1").select("word", F.explode(F.expr("sequence(1, length(word) - 1)")).alias("n")).withColumn("head", F.expr("right(word, n)"))
+    return s.join(heads, "head").groupBy("word").agg(F.max_by("rule", "n").alias("rule"))
+
+
 @query("lx22_more_word_forms", W + _RT + _PA + _WT + ", c AS (SELECT DISTINCT form AS word, tag FROM pa WHERE form IS NOT NULL) SELECT c.word, c.tag FROM c WHERE word IN (SELECT word FROM wt) AND NOT EXISTS (SELECT 1 FROM wt WHERE wt.word = c.word AND wt.tag = c.tag) AND c.word NOT IN (SELECT word FROM ap)")
 def lx22(spark, sf_dir):
     """Generated forms that are known words but lack the tag, and have no rule of their own."""

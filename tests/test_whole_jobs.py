@@ -17,3 +17,8 @@ def both(spark, folder, name, texts):
 def test_every_tagged_line_is_returned(spark, tmp_path):
     rows = both(spark, tmp_path, "io14_wtl_all_lines", ["one two two . Two", "one"]).collect()
     assert sorted(r["n"] for r in rows) == [1, 1, 2, 2]
+
+
+def test_heads_of_any_length_give_rules(spark, tmp_path):
+    got = both(spark, tmp_path, "lx18_guess_rules_all_heads", ["nation subnation supersubnation baker minibaker stone"])
+    assert {r["word"]: r["rule"] for r in got.collect()} == {"subnation": "n.tion", "supersubnation": "n.tion", "minibaker": "n.er"}
