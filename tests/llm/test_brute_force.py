@@ -312,14 +312,68 @@ def test_perfect_hash():
     assert sorted(mph.slots(keys).tolist()) == list(range(5000))
 
 
+def _replayed(spark, d, shards, bucket_bytes):
+    """Scatter and Fisher-Yates, record by record, with a Mersenne twister of its own."""
+    names = [c for c in d.columns if c not in ("shard", "slot")]
+    n_rows, total = d.count(), sum(len((r["text"] or "").encode()) + shuffle.ROW_BYTES for r in d.collect())
+    n = max(shuffle.LEAST, -(-total // bucket_bytes))
+    hashed = shuffle._hashed(d, names, "text", shuffle.SEED).selectExpr("*", f"cast(pmod(h1, {n}) as int) as bucket").selectExpr("*", f"pmod(hash(bucket), {n}) as part")
+    parts = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in hashed.collect():
+        parts[r["part"]][r["bucket"]].append((r["h1"], r["h2"], r["record"]["doc_id"], r["record"]["text"]))
+    buckets = {}
+    for part, own in parts.items():
+        seed = shuffle.SEED + part
+        rng = np.random.RandomState(np.array([seed >> 32, seed & 0xFFFFFFFF], np.uint32))
+
+        def below(n, rng=rng):
+            while True:
+                bits = int(rng.randint(0, 2**32, dtype=np.uint32)) >> 1
+                if n & (n - 1) == 0:
+                    return (n * bits) >> 31
+                if bits - bits % n + n - 1 < 2**31:
+                    return bits % n
+
+        for bucket in sorted(own):
+            rows = sorted(own[bucket])
+            order = list(range(len(rows)))
+            for i in range(len(rows)):  # inside out
+                j = below(i + 1)
+                order[i], order[j] = order[j], order[i]
+            buckets[bucket] = [rows[i] for i in order]
+    every = [x for b in sorted(buckets) for x in buckets[b]]
+    first = [-(-s * n_rows // shards) for s in range(shards + 1)]
+    return {(s, p - first[s]): every[p][2:] for s in range(shards) for p in range(first[s], first[s + 1])}
+
+
 def test_shuffle(spark, plain):
-    uris = [f"{common.shared_dir(spark)}/shards" for _ in range(2)]
-    a, b = ({(r["doc_id"]): (r["shard"], r["slot"], r["text"]) for r in shuffle.shuffled_shards(data.docs(spark, plain), u, shards=7).collect()} for u in uris)
-    assert a == b and {d: v[2] for d, v in a.items()} == {r[0]: r[1] for r in plain}
-    n = collections.Counter(v[0] for v in a.values())
-    assert max(n.values()) - min(n.values()) <= 1
-    for s, k in n.items():
-        assert sorted(v[1] for v in a.values() if v[0] == s) == list(range(k))
+    """Scatter and Fisher-Yates replayed; the same places however the input is laid out."""
+    d = data.docs(spark, plain)
+    want = _replayed(spark, d, 7, 4000)
+    assert len(want) == len(plain)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        for x in (d, d.repartition(5, "doc_id"), d.repartition("doc_id"), d.coalesce(1)):
+            got = shuffle.shuffled_shards(x, f"{common.shared_dir(spark)}/shards", shards=7, bucket_bytes=4000).collect()
+            assert {(r["shard"], r["slot"]): (r["doc_id"], r["text"]) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_shuffle_of_a_record_that_fills_the_table(spark):
+    """A third of the rows, and more, are one and the same record."""
+    rows = [(1, "same", "a", "b", 4)] * 3000 + [(None, None, None, None, None)] * 800 + [(i, f"text {i}", "a", "b", 6) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    n = -(-sum(len(r[1] or "") + shuffle.ROW_BYTES for r in rows) // 8000)
+    got = [shuffle.shuffled_shards(x, f"{common.shared_dir(spark)}/shards", shards=7, bucket_bytes=8000).collect() for x in (d, d.repartition("lang"))]
+    a, b = ({(r["shard"], r["slot"]): (r["doc_id"], r["text"]) for r in g} for g in got)
+    assert a == b and len(got[0]) == len(a) == len(rows)
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(a.values(), key=key) == sorted((r[:2] for r in rows), key=key)
+    in_shard = collections.Counter(s for s, _ in a)
+    assert max(in_shard.values()) - min(in_shard.values()) <= 1 and all((s, k - 1) in a for s, k in in_shard.items())
+    hot = collections.Counter(s for (s, _), r in a.items() if r == (1, "same"))
+    assert n > 40 and min(hot.values()) > 3000 / 7 * 0.8
 
 
 def test_neighbours_recall(spark):
