@@ -77,3 +77,28 @@ def test_neighbours(spark):
     assert few.groupBy("query_id").count().where("count <> 2").count() == 0
     assert neighbours.nearest(d.limit(0)).count() == 0
     assert neighbours.nearest(d.where(F.lit(False)), query="false").count() == 0
+
+
+def test_neighbours_of_odd_vectors(spark):
+    """Other lengths are strangers; an id with two vectors counts with the better one; ties at the edge go to small ids."""
+    rows = [(i, [1.0, float(i)], True) for i in range(4)] + [(10 + i, [1.0, 2.0, float(i)], True) for i in range(3)]
+    rows += [(20, [0.0, 5.0], True), (20, [9.0, 0.0], True)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q boolean")
+    got = {}
+    for r in neighbours.nearest(d, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for q in got:
+        score = {}
+        for i, v, _ in rows:
+            for j, w, _ in rows:
+                if i == q and j != q and len(v) == len(w):
+                    score[j] = max(score.get(j, -1e9), dot(v, w))
+        want = sorted((-s, j) for j, s in score.items())[:3]
+        assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert set(got) == {i for i, _, _ in rows}
+    bits = [(i, [1.0 if i >> b & 1 else -1.0 for b in range(8)]) for i in range(256)]
+    d = spark.createDataFrame(bits, "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(d, k=12, query="vec_id % 40 = 0").groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+        want = sorted((-dot(bits[r["query_id"]][1], v), i) for i, v in bits if i != r["query_id"])[:12]
+        assert sorted(r["ids"]) == sorted(i for _, i in want)
