@@ -5,7 +5,8 @@ more than once in the corpus.  They all use the same exchange:
 
 1. Documents are dealt by hash of ``doc_id`` into buckets of a bounded number of bytes (one shuffle of the text).
 2. Each bucket sends its *distinct* keys, sorted and cut into ranges ("parts"); a key that occurs thousands of times in
-   a bucket is sent once, so a hot key costs one entry per bucket and never floods the task that judges it.
+   a bucket is sent once, so a hot key costs one entry per bucket and never floods the task that judges it.  There are
+   as many parts as the keys' bytes ask for, fewer than buckets; a row holds all keys of one bucket for one part.
 3. Each part answers every bucket with one bit per key sent.  The bucket, recomputed from the same rows, lines the bits
    up with its keys again, so neither keys nor positions travel back.
 """
@@ -14,15 +15,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 4 << 20
-"""Text bytes aimed at in a bucket: what one Python worker holds at a time, with about 40 times that in work arrays."""
+BUCKET_BYTES = 8 << 20
+"""Text bytes aimed at in a bucket: what one Python worker holds at a time, with some ten times that in work arrays."""
+PART_BYTES = 32 << 20
+"""Text bytes whose keys one part judges."""
+SLICE_BYTES = 1 << 20
+"""Text bytes that operators without buckets work on at a time."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +59,24 @@ def n_buckets(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BY
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
 
+def n_parts(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
+    """Parts for the corpus' keys, by the same rule."""
+    return n_buckets(docs, text, part_bytes)
+
+
+def slices(t: pa.RecordBatch, *columns: int, most: int = SLICE_BYTES, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``t`` that hold at most ``most`` bytes in the given columns, but one row at least."""
+    size = np.zeros(t.num_rows, np.int64)
+    for c in columns:
+        size += pc.binary_length(t.column(c)).fill_null(0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(size), 0
+    while lo < t.num_rows:
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right"))
+        hi = min(max(hi, lo + 1), lo + rows)
+        yield t.slice(lo, hi - lo)
+        lo = hi
+
+
 def bucketed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """``(bucket, doc_id, text)`` dealt by a hash of the id, so that rows of one id share a bucket."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -14,6 +14,8 @@ BYTE = _rng.integers(0, 2**64, 256, dtype=U)
 BASE, WORD_BASE = U(0x9E3779B97F4A7C15 | 1), U(0xD1342543DE82EF95 | 1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+STRETCH = 1 << 18
+"""Bytes that are hashed at a time."""
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -63,14 +65,20 @@ class Words:
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
-    if not len(w.start):
-        return np.zeros(0, U)
+    n = len(w.start)
+    out = np.empty(n, U)
     lens = w.end - w.start
-    ends = np.cumsum(lens)
-    local = np.arange(int(ends[-1])) - np.repeat(ends - lens, lens)
-    at = local + np.repeat(w.start, lens)
-    values = BYTE[data[at]] * powers(BASE, int(lens.max()))[local]
-    return mix(np.add.reduceat(values, ends - lens) + lens.astype(U))
+    upto = np.cumsum(lens)
+    lo = 0
+    while lo < n:  # some words at a time: work arrays take many times the bytes they are about
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STRETCH, "right")))
+        some = lens[lo:hi]
+        ends = np.cumsum(some)
+        local = np.arange(int(ends[-1])) - np.repeat(ends - some, some)
+        at = local + np.repeat(w.start[lo:hi], some)
+        out[lo:hi] = np.add.reduceat(BYTE[data[at]] * powers(BASE, int(some.max()))[local], ends - some)
+        lo = hi
+    return mix(out + lens.astype(U))
 
 
 def windows(values: np.ndarray, width: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
