@@ -60,9 +60,12 @@ def _result(docs: pa.Table, b: _Bucket, gone: np.ndarray) -> pa.Table:
     doc = w.doc[kept]
     lens = w.end[kept] - w.start[kept]
     glue = np.r_[doc[1:] == doc[:-1], False] if len(doc) else np.zeros(0, bool)  # a space after each kept word but a text's last
-    ends = np.cumsum(lens + glue)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
-    out[C.ragged(ends - lens - glue, lens)] = b.data[C.ragged(w.start[kept], lens)]
+    # a white space follows each word that is glued to the next one: it stays as the space between them
+    step, data = np.zeros(len(b.data) + 1, np.int8), b.data.copy()
+    step[w.start[kept]] += 1
+    step[w.end[kept] + glue] -= 1
+    data[w.end[kept][glue]] = 32
+    out = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
     size = np.bincount(doc, weights=lens + glue, minlength=n).astype(np.int64)
     text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64).tobytes()), pa.py_buffer(out.tobytes()))
     starts = np.flatnonzero(gone & ~(np.r_[False, gone[:-1]] & (w.place > 0))) if len(gone) else np.zeros(0, int)
@@ -86,30 +89,31 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, doc_id: str = "doc
     Returns ``doc_id, n_words, n_removed, kept, spans``: one row per input row; ``kept`` has the words that stay joined
     by one space, ``spans`` the removed word ranges.  Null and empty texts have no words and an empty ``kept``; rows
     that share a doc_id, or have none, count as documents of their own; other columns are not read.  Windows are
-    compared by 64-bit hashes of their exact words.  ``width`` must exceed the period of the cover (21).
+    compared by 64-bit hashes of their exact words.  A text, however long, is worked on as a whole: a Python worker needs
+    about twelve times its bytes.  An empty table gives none.  ``width`` must exceed the period of the cover (21).
     """
     if width <= PERIOD:
         raise ValueError(f"width must be over {PERIOD}")
-    n = C.n_buckets(docs, text)
+    n, parts = C.n_buckets(docs, text), C.n_parts(docs, text)
     docs_b = C.bucketed(docs, doc_id, text, n)
 
     def anchors(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         b = _Bucket(C.ordered(t), width)
-        return C.key_rows(key[0].as_py(), b.anchors, b.anchor_multi, n)
+        return C.key_rows(key[0].as_py(), b.anchors, b.anchor_multi, parts)
 
     def wins(bucket: int, t: pa.Table, masks: dict) -> pa.Table:
         b = _Bucket(t, width)
-        b.candidates(C.unmask(b.anchors, masks.get("anchor", ()), n))
-        return C.key_rows(bucket, b.wins, b.win_multi, n)
+        b.candidates(C.unmask(b.anchors, masks.get("anchor", ()), parts))
+        return C.key_rows(bucket, b.wins, b.win_multi, parts)
 
     def result(_: int, t: pa.Table, masks: dict) -> pa.Table:
         b = _Bucket(t, width)
-        b.candidates(C.unmask(b.anchors, masks.get("anchor", ()), n))
-        return _result(t, b, b.removed(C.unmask(b.wins, masks.get("window", ()), n)))
+        b.candidates(C.unmask(b.anchors, masks.get("anchor", ()), parts))
+        return _result(t, b, b.removed(C.unmask(b.wins, masks.get("window", ()), parts)))
 
-    m1 = C.repeated_masks(docs_b.groupBy("bucket").applyInArrow(anchors, C.KEYS), n).withColumn("kind", F.lit("anchor"))
+    m1 = C.repeated_masks(docs_b.groupBy("bucket").applyInArrow(anchors, C.KEYS), parts).withColumn("kind", F.lit("anchor"))
     m1 = C.materialize(m1, "anchors")
-    m2 = C.repeated_masks(C.with_masks(docs_b, m1, wins, C.KEYS, n), n).withColumn("kind", F.lit("window"))
+    m2 = C.repeated_masks(C.with_masks(docs_b, m1, wins, C.KEYS, n), parts).withColumn("kind", F.lit("window"))
     return C.with_masks(docs_b, m1.unionByName(m2), result, OUT, n)
 
 
