@@ -256,8 +256,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, score: float = SCORE, doc_id
 
         def pairs(batches, items=items, seeds=seeds_of(items)):
             for whole in batches:
-                for lo in range(0, whole.num_rows, 1024):
-                    t = whole.slice(lo, 1024)
+                for t in C.slices(whole, 1):
                     rows = _found(t.column(1), items, seeds, score)
                     if rows:
                         text_no, item_no, share, begin, end = zip(*rows, strict=True)
@@ -280,8 +279,7 @@ def clean(docs: DataFrame, bench: DataFrame, score: float = SCORE, text: str = "
 
         def free(batches, items=items, seeds=seeds_of(items)):
             for whole in batches:
-                for lo in range(0, whole.num_rows, 1024):
-                    t = whole.slice(lo, 1024)
+                for t in C.slices(whole, at):
                     keep = np.ones(t.num_rows, bool)
                     keep[[r[0] for r in _found(t.column(at), items, seeds, score)]] = False
                     yield t.filter(pa.array(keep))

@@ -213,8 +213,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, doc_id: str = "doc
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for b in C.slices(whole, 2, rows=2048):
                 names, score, least, size = predict(shared.value, b.column(2), b.column(3))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(least), pa.array(size)], ["doc_id", "held_out", "lang_pred", "score", "bits", "n_bytes"])
 
@@ -229,8 +228,7 @@ def in_a_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for b in C.slices(whole, at, rows=2048):
                 found = predict(shared.value, b.column(at), b.column(len(names)))[0]
                 yield b.select(list(range(len(names)))).filter(pa.array(found != UND))
 

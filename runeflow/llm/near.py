@@ -31,8 +31,8 @@ BASE, RATE, TOP = 1.08, 20.0, 254
 """b, a and q of the sketch: registers tell minima down to b**-253 apart, i.e. sets of one to some 15 million shingles."""
 SLACK = 4.0
 """Standard deviations by which an estimate may fall short of the threshold and still be confirmed on the full sets."""
-BLOCK = 1024
-"""Members of a bucket or component that a task holds at a time."""
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+"""Members of a bucket or component, and bytes of full sets, that a task holds of either side at a time."""
 SKETCHES = "row_id long, n_shingles long, set_a long, set_b long, sketch binary"
 
 _rng = np.random.default_rng(H.SEED + 8)
@@ -114,8 +114,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                t = whole.slice(lo, 512)
+            for t in C.slices(whole, 1):
                 data, offsets = C.utf8(t.column(1))
                 values, off = shingle_sets(data, offsets, k)
                 size = np.diff(off)
@@ -163,18 +162,18 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
 
 def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(row_id, shingles): the full sets, 64-bit hashes in ascending order, of the given rows."""
+    """(row_id, n_bytes, shingles): the full sets, 64-bit hashes in ascending order, of the given rows."""
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                t = whole.slice(lo, 512)
+            for t in C.slices(whole, 1):
                 data, offsets = C.utf8(t.column(1))
                 values, off = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([t.column(0), pa.array([values[p:q].tobytes() for p, q in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["row_id", "shingles"])
+                sets = [values[p:q].tobytes() for p, q in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(8 * np.diff(off)), pa.array(sets, pa.binary())], ["row_id", "n_bytes", "shingles"])
 
     need = C.materialize(rows.groupBy("row_id").agg(F.lit(1).alias("n")).select("row_id"), "need")
-    return C.materialize(docs.select("row_id", "text").join(need, "row_id").mapInArrow(run, "row_id long, shingles binary"), "sets")
+    return C.materialize(docs.select("row_id", "text").join(need, "row_id").mapInArrow(run, "row_id long, n_bytes long, shingles binary"), "sets")
 
 
 def linked(one: bytes, others: list[bytes], percent: int) -> np.ndarray:
@@ -192,29 +191,39 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     full = _sets(docs, pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")), k)
 
     def check(batches):
-        for t in batches:
-            m = pa.array([bool(linked(x, [y], percent)[0]) for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(m), t.column("b").filter(m)], ["a", "b"])
+        for whole in batches:
+            for t in C.slices(whole, 2, 3, most=4 << 20, rows=4096):
+                a, ys = t.column("a").to_numpy(), t.column("y").to_pylist()
+                cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]).tolist()  # runs of one a: its set against many
+                m = pa.array(np.concatenate([linked(t.column("x")[p].as_py(), ys[p:q], percent) for p, q in zip(cuts, cuts[1:], strict=False)]))
+                yield pa.RecordBatch.from_arrays([t.column("a").filter(m), t.column("b").filter(m)], ["a", "b"])
 
     left = full.select(F.col("row_id").alias("a"), F.col("shingles").alias("x"))
     right = full.select(F.col("row_id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, key: str, node: str) -> DataFrame:
-    """Deals the rows of each key into blocks of about BLOCK."""
-    return rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(node), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
+def _grid(xs: DataFrame, ys: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """(key, nx, ny): into how many blocks either side's rows of a key are dealt, by their number and, if given, their bytes."""
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count("*") / BLOCK)
+        return df.groupBy(key).agg((F.greatest(n, F.ceil(F.sum(weight) / BLOCK_BYTES)) if weight else n).cast("int").alias(name))
 
-def _everywhere(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Each row once for every block of its key."""
-    return rows.join(sizes, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1))).drop("n")
+    return C.materialize(side(xs, "nx").join(side(ys, "ny"), key), "grid")
 
 
-def _together(left: DataFrame, right: DataFrame, key: str) -> PandasCogroupedOps:
-    """Cogrouped by key and block, dealt to a stated number of tasks: the work is in the comparisons, so few bytes must not make few tasks."""
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a, b = (df.repartition(n, key, "block").groupBy(key, "block") for df in (left, right))
+def _crossed(xs: DataFrame, x: str, ys: DataFrame, y: str, grid: DataFrame, key: str) -> PandasCogroupedOps:
+    """Both sides cogrouped by key and by pairs of their blocks, so that a task holds one block of each however many rows a key has.
+
+    Dealt to a stated number of tasks: the work is in the comparisons, so few bytes must not make few tasks.
+    """
+    n = int(xs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = xs.join(grid, key).withColumn("i", block(x, "nx")).withColumn("j", every("ny"))
+    b = ys.join(grid, key).withColumn("j", block(y, "ny")).withColumn("i", every("nx"))
+    a, b = (df.drop("nx", "ny").repartition(n, key, "i", "j").groupBy(key, "i", "j") for df in (a, b))
     return a.cogroup(b)
 
 
@@ -230,7 +239,7 @@ def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFr
     apart = placed.where("node_of <> pivot_of").select("band", F.col("node").alias("x"), F.col("node_of").alias("x_of"))
     split = C.materialize(apart.groupBy("band").agg(F.lit(1).alias("n")).select("band"), "split")
     others = C.materialize(placed.join(split, "band").select("band", F.col("node").alias("y"), F.col("node_of").alias("y_of")), "others")
-    sizes = C.materialize(others.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    grid = _grid(apart, others, "band")
     sketch = lambda df, c: df.join(classes.select(F.col("node").alias(c), F.col("sketch").alias("sketch"), F.col("n_shingles").alias("n_shingles")), c)
 
     def screen(xs: pa.Table, ys: pa.Table) -> pa.Table:
@@ -253,14 +262,12 @@ def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFr
                 out_x, out_c = [x for x, _ in near], [c for _, c in near]
         return pa.table({"x": pa.array(out_x, pa.int64()), "c": pa.array(out_c, pa.int64())})
 
-    left, right = sketch(_everywhere(apart, sizes, "band"), "x"), sketch(_blocks(others, sizes, "band", "y"), "y")
-    some = _together(left, right, "band").applyInArrow(screen, "x long, c long")
+    some = _crossed(sketch(apart, "x"), "x", sketch(others, "y"), "y", grid, "band").applyInArrow(screen, "x long, c long")
     some = C.materialize(some.groupBy("x", "c").agg(F.lit(1).alias("n")).select("x", "c"), "across")
     targets = some.groupBy("c").agg(F.lit(1).alias("one")).select("c")
     member = classes.select("node").join(comp, "node", "left").select(F.col("node").alias("y"), F.coalesce("component", "node").alias("c")).join(C.materialize(targets, "targets"), "c")
     member = C.materialize(member, "targets_members")
     full = _sets(docs, some.select(F.col("x").alias("row_id")).union(member.select("y")), k)
-    sizes = C.materialize(member.groupBy("c").agg(F.count("*").alias("n")), "sizes")
 
     def check(xs: pa.Table, ys: pa.Table) -> pa.Table:
         a, b = [], []
@@ -273,9 +280,10 @@ def _across(placed: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFr
                     b.append(names[hit[0]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    size = lambda df, c: df.join(full.select(F.col("row_id").alias(c), F.col("n_bytes").alias("n_bytes")), c)
+    grid = _grid(size(some, "x"), size(member, "y"), "c", "n_bytes")
     of = lambda df, c: df.join(full.select(F.col("row_id").alias(c), F.col("shingles").alias("shingles")), c)
-    left, right = of(_everywhere(some, sizes, "c"), "x"), of(_blocks(member, sizes, "c", "y"), "y")
-    return _together(left, right, "c").applyInArrow(check, "a long, b long")
+    return _crossed(of(some, "x"), "x", of(member, "y"), "y", grid, "c").applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,7 +294,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     as they were needed to find the components; ``kept`` marks the row whose doc_id is the component's.  Null or empty texts, and texts
     without words, have no shingles and are linked with nothing.  Rows with the same doc_id count as one document with
     each of their texts; a null doc_id counts as the smallest number there is while components are found, and stays
-    null in ``doc_id``.  Other columns are not read.
+    null in ``doc_id``.  Other columns are not read; an empty table gives none.  A text, however long, is one set, held in
+    memory with some 15 times its bytes.
     """
     threshold = percent / 100
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("row_id"), F.col(text).alias("text"))

@@ -219,8 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id: str =
     def run(batches):
         f = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
+            for b in C.slices(whole, 2):
                 s = score_texts(f, *C.utf8(b.column(2))) if f else np.full(b.num_rows, prior)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

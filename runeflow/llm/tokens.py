@@ -35,7 +35,7 @@ from . import hashing as H
 
 MAGIC = b"RUNEID01"
 SHARD_BYTES = 8 << 20
-CACHE, SLICE = 400_000, 4096
+CACHE, SLICE, SLICE_BYTES = 400_000, 4096, 8 << 20
 """Pieces of text whose ids a worker remembers, and texts that it encodes at a time."""
 GAMMA, BLOCK = 1.5, 512
 MANIFEST = "shard int, first_id long, last_id long, n_docs long, n_ids long"
@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end: int = 0, doc_id
     def write(batches):
         enc = encoder(tokenizer)
         ids, sizes, names, valid = [], [], [], []
-        for t in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+        for t in (t for b in batches for t in C.slices(b, 1, most=SLICE_BYTES, rows=SLICE)):
             a, starts = enc.encode(t.column(1), end)
             ids.append(a)
             sizes.append(np.diff(starts))
