@@ -8,6 +8,8 @@ quantifiers run inside the engine's generated code, and a sentence is one row th
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,6 +78,8 @@ def tests(r: Rule) -> list[str]:
 def pattern(r: Rule) -> str:
     """The regular expression over letters: groups for left context, match, right context."""
     ts = tests(r)
+    if len(ts) > 6:
+        raise ValueError(f"{r.name}: more than six tests")
 
     def piece(e: Element) -> str:
         k = ts.index(e.test)
@@ -102,18 +106,33 @@ def first_letters(r: Rule) -> list[str]:
     return sorted(out)
 
 
-def _starts(r: Rule, code: str) -> Column:
-    """All (rule_no, rule, start, n) of one rule in a sentence's letters, a string column; only fitting first letters are tried."""
+def _found(r: Rule, code: Column) -> Column:
+    """(start, n) of every match of one rule in a string of letters; only fitting first letters are tried."""
 
     def at(k: Column) -> Column:
-        rest = F.substring(F.col(code), k + 1, F.length(code))
+        rest = F.substring(code, k + 1, F.length(code))
         return F.struct((k + F.length(F.regexp_extract(rest, pattern(r), 1))).alias("start"), F.length(F.regexp_extract(rest, pattern(r), 2)).alias("n"))
 
-    tried = F.filter(F.sequence(F.lit(0), F.length(code) - 1), lambda k: F.substring(F.col(code), k + 1, F.lit(1)).isin(first_letters(r)))
-    found = F.transform(F.filter(F.transform(tried, at), lambda m: m["n"] > 0), lambda m: F.struct(F.lit(r.no).alias("rule_no"), F.lit(r.name).alias("rule"), m["start"].alias("start"), m["n"].alias("n")))
+    tried = F.filter(F.sequence(F.lit(0), F.length(code) - 1), lambda k: F.substring(code, k + 1, F.lit(1)).isin(first_letters(r)))
+    return F.filter(F.transform(tried, at), lambda m: m["n"] > 0)
+
+
+def _starts(r: Rule, code: str) -> Column:
+    """All (rule_no, rule, start, n) of one rule in a sentence's letters, a string column."""
+    found = F.transform(_found(r, F.col(code)), lambda m: F.struct(F.lit(r.no).alias("rule_no"), F.lit(r.name).alias("rule"), m["start"].alias("start"), m["n"].alias("n")))
     return F.when(F.length(code) >= min_length(r), found).otherwise(F.array())
 
 
+def n_matches(r: Rule, code: str) -> Column:
+    """How many matches one rule has in a sentence's letters.
+
+    A token that passes none of the rule's tests parts matches, so they are looked for in the runs between such tokens:
+    the work grows with the sentence's length, and with the square of a run's only.
+    """
+    runs = F.filter(F.regexp_extract_all(code, F.lit(f"[^{LETTERS[0]}]+"), F.lit(0)), lambda run: F.length(run) >= min_length(r))
+    return F.aggregate(runs, F.lit(0), lambda n, run: n + F.size(F.array_distinct(_found(r, run))))
+
+
 def matches(toks: DataFrame, rules: list[Rule]) -> DataFrame:
     """RU7, RU8, RU11: (doc_id, sent_id, rule_no, rule, start, n): every start of every rule; contexts are not part of the span.
 
@@ -127,6 +146,63 @@ def matches(toks: DataFrame, rules: list[Rule]) -> DataFrame:
     return s.select("doc_id", "sent_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "sent_id", "m.*").distinct()
 
 
+def on_field(test: str, of: str) -> str:
+    """A test with ``norm``, ``tag`` and ``cls`` read from the struct ``of``; what is quoted stays."""
+    parts = re.split(r"('(?:[^']|'')*')", test)
+    return "".join(p if i % 2 else re.sub(r"\b(norm|tag|cls)\b", rf"{of}.\1", p) for i, p in enumerate(parts))
+
+
+def code_of(ts: str, r: Rule) -> str:
+    """SQL for the letters of an array of tokens (norm, tag, cls): a sentence is matched inside its row."""
+    return f"array_join(transform({ts}, t -> substring('{LETTERS}', 1 + {on_field(letter(r), 't')}, 1)), '')"
+
+
+def sentences(toks: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, ts): one row for each sentence, its tokens (norm, tag, cls) in order."""
+    s = toks.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "tag", "cls"))).alias("ts"))
+    return s.select("doc_id", "sent_id", F.transform("ts", lambda x: F.struct(x["norm"].alias("norm"), x["tag"].alias("tag"), x["cls"].alias("cls"))).alias("ts"))
+
+
+def with_matches(s: DataFrame, rules: list[Rule], ts: str = "ts", name: str = "found") -> DataFrame:
+    """Adds all matches of the rules, an array of (rule_no, rule, start, n), to rows that hold a sentence."""
+    codes = [f"_c{r.no}" for r in rules]
+    s = s.select("*", *[F.expr(code_of(ts, r)).alias(c) for r, c in zip(rules, codes, strict=True)])
+    return s.withColumn(name, F.array_distinct(F.concat(*[_starts(r, c) for r, c in zip(rules, codes, strict=True)]))).drop(*codes)
+
+
+def corrections(toks: DataFrame, rules: list[Rule], retag: Callable[[Column], Column], c: RuleConfig = RULES) -> DataFrame:
+    """ER3 to ER5, ER8 to ER10 in one go: suggestions that leave fewer matches, of all rules, than there were.
+
+    Returns (doc_id, sent_id, rule_no, rule, start, n, edit_no, words, n_before, n_after, place).  Each sentence is one row
+    throughout: matched, edited, tagged again (``retag``: word -> struct of norm, tag and cls) and matched again by all
+    rules; nothing is joined.
+    """
+    s = with_matches(sentences(toks), rules)
+    # of a rule that offers to change nothing every match is a false alarm
+    useful = [r for r in rules if r.edits and not (c.same_as_original_is_false_alarm and any(e.op == "nothing" for e in r.edits))]
+    tried = F.filter("found", lambda m: m["rule_no"].isin([r.no for r in useful]))
+    s = s.select("doc_id", "sent_id", "ts", F.size("found").alias("n_before"), F.explode(tried).alias("m")).select("doc_id", "sent_id", "ts", "n_before", "m.*")
+    edits = F.when(F.lit(False), F.lit(None))
+    for r in useful:
+        own = F.array(*[F.struct(F.lit(i).alias("edit_no"), _edited(F.col("ts"), F.col("start"), e, retag(F.lit(e.word))).alias("new")) for i, e in enumerate(r.edits)])
+        edits = edits.when(F.col("rule_no") == r.no, own)
+    s = s.withColumn("es", edits).where("es is not null")
+    if c.same_as_original_is_false_alarm:
+        s = s.where(~F.exists("es", lambda e: e["new"] == F.col("ts")))
+    e = s.select("*", F.explode("es").alias("e"))
+    repeated = F.exists("es", lambda x: (x["edit_no"] > F.col("e.edit_no")) & (x["new"] == F.col("e.new")))
+    ok = F.col("e.new") != F.col("ts")
+    e = e.where(ok if c.accept_repeated_suggestions else ok & ~repeated)
+    e = e.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "n_before", F.col("e.edit_no").alias("edit_no"), F.col("e.new").alias("new"))
+    codes = [f"_c{r.no}" for r in rules]
+    e = e.select("*", *[F.expr(code_of("new", r)).alias(c) for r, c in zip(rules, codes, strict=True)])
+    e = e.withColumn("n_after", sum((n_matches(r, c) for r, c in zip(rules, codes, strict=True)), F.lit(0))).drop(*codes)
+    e = e.where(F.lit(c.accept_not_improving) | (F.col("n_after") < F.col("n_before")))
+    w = Window.partitionBy("doc_id", "sent_id", "rule_no", "start").orderBy(F.desc("edit_no"))
+    e = e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= c.max_suggestions)
+    return e.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "edit_no", F.transform("new", lambda x: x["norm"]).alias("words"), "n_before", "n_after", "place")
+
+
 def suppressed(found: DataFrame, rules: list[Rule]) -> DataFrame:
     """RU12: without matches that start inside a match of a rule which jumps past their rule.
 
@@ -152,15 +228,16 @@ def sequences(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "sent_id", "next"]).select("doc_id", "sent_id", "start", (F.col("n") + F.col("n2")).alias("n"))
 
 
-def _edited(words: Column, start: Column, e: Edit) -> Column:
+def _edited(words: Column, start: Column, e: Edit, word: Column | None = None) -> Column:
+    word = F.lit(e.word) if word is None else word
     k = start + e.at
     head, tail = F.slice(words, F.lit(1), k), F.slice(words, k + 2, F.greatest(F.size(words) - k - 1, F.lit(0)))
     if e.op == "delete":
         return F.concat(head, tail)
     if e.op == "replace":
-        return F.concat(head, F.array(F.lit(e.word)), tail)
+        return F.concat(head, F.array(word), tail)
     if e.op == "insert":
-        return F.concat(head, F.array(F.lit(e.word)), F.slice(words, k + 1, F.size(words) - k))
+        return F.concat(head, F.array(word), F.slice(words, k + 1, F.size(words) - k))
     return words
 
 

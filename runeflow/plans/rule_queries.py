@@ -118,23 +118,34 @@ def er5_false(spark, sf_dir):
     return m.agg(F.count("*").alias("n_matches")).crossJoin(R.candidates(m, s, [THE]).agg(F.count("*").alias("n_left"))).select("n_left", "n_matches")  # one row each
 
 
-_VER = f""", nb AS (SELECT doc_id, sent_id, count(*) AS n_before FROM ma GROUP BY ALL), aw AS (SELECT cs.*, unnest(range(1, len(new))) AS k FROM cs WHERE status = 'ok'),
-na AS (SELECT doc_id, sent_id, start, edit_no, count(*) FILTER (new[k] = 'a' AND left(new[k + 1], 1) IN ('a', 'e', 'i', 'o', 'u')) AS n_after FROM aw GROUP BY ALL)
-SELECT cs.doc_id, edit_no, count(*) AS n_suggested, sum(coalesce(n_after, 0))::BIGINT AS n_errors_left FROM cs JOIN nb USING (doc_id, sent_id) LEFT JOIN na USING (doc_id, sent_id, start, edit_no) WHERE status = 'ok' AND coalesce(n_after, 0) < n_before GROUP BY ALL"""
+MATCHED = [ART, THE, NP, CONTEXT]
+"""The rules that report; a correction is tried against all of them."""
 
 
-@query("er8_suggestions_verified", T + _sql([ART]) + _CAND + _VER)
+def _retagged(word):
+    """The token that a word of a correction becomes."""
+    cls = scan.classify(word)
+    return F.struct(F.lower(word).alias("norm"), scan.pseudo_tag(word, cls).alias("tag"), cls.alias("cls"))
+
+
+def _after(r) -> str:
+    """Letters of the corrected sentence."""
+    return f"array_to_string(list_transform(new, lambda t: substr('{R.LETTERS}', 1 + {R.on_field(R.letter(r), 't')}, 1)), '') AS c{r.no}"
+
+
+_NEW = f"(SELECT {{{{'norm': lower(tok), 'tag': {sql.TAG}, 'cls': cls}}}} FROM (SELECT tok, {sql.case()} AS cls FROM (SELECT 'an' AS tok)))".replace("{{", "{").replace("}}", "}")
+_VER = f""", sw AS (SELECT doc_id, sent_id, list({{'norm': norm, 'tag': tag, 'cls': cls}} ORDER BY pos) AS ts FROM tk GROUP BY ALL), nb AS (SELECT doc_id, sent_id, count(*) AS n_before FROM ma GROUP BY ALL),
+ca AS (SELECT ma.doc_id, ma.sent_id, ma.start, e.edit_no, n_before, CASE e.op WHEN 'delete' THEN list_concat(ts[1:start], ts[start + 2:]) ELSE list_concat(ts[1:start], [{_NEW}], ts[start + 2:]) END AS new
+FROM ma JOIN sw USING (doc_id, sent_id) JOIN nb USING (doc_id, sent_id), (VALUES (1, 'delete'), (2, 'replace')) e(edit_no, op) WHERE rule_no = 1),
+aw AS (SELECT *, {', '.join(_after(r) for r in MATCHED)} FROM ca), ax AS (SELECT *, unnest(range(0, len(new))) AS k FROM aw),
+af AS (SELECT doc_id, sent_id, start, edit_no, count(*) AS n_after FROM ({' UNION '.join(f"SELECT doc_id, sent_id, start, edit_no, {r.no} AS rule_no, k + length(regexp_extract(substr(c{r.no}, k + 1), {sql.quoted(R.pattern(r))}, 1)) AS s2, length(regexp_extract(substr(c{r.no}, k + 1), {sql.quoted(R.pattern(r))}, 2)) AS n2 FROM ax WHERE regexp_matches(substr(c{r.no}, k + 1), {sql.quoted(R.pattern(r))})" for r in MATCHED)}) WHERE n2 > 0 GROUP BY ALL)
+SELECT ca.doc_id, edit_no, count(*) AS n_suggested, sum(coalesce(n_after, 0))::BIGINT AS n_errors_left FROM ca LEFT JOIN af USING (doc_id, sent_id, start, edit_no) WHERE coalesce(n_after, 0) < n_before GROUP BY ALL"""
+
+
+@query("er8_suggestions_verified", T + _sql(MATCHED) + _VER)
 def er8(spark, sf_dir):
-    """Corrected sentences are matched again; those with as many matches as before are dropped."""
-    t, s = _sentences(spark, sf_dir)
-    m = R.matches(t, [ART])
-    c = R.candidates(m, s, [ART])
-    key = F.concat_ws("/", "sent_id", "rule_no", "start", "edit_no")
-    again = c.where("status = 'ok'").select("doc_id", key.alias("sent_id"), F.posexplode("new").alias("pos", "norm")).withColumn("tag", F.lit("word.low")).withColumn("cls", F.lit("word"))
-    after = R.matches(again, [ART]).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n_after"))
-    part = F.split("sent_id", "/")
-    after = after.select("doc_id", part[0].cast("long").alias("sent_id"), part[1].cast("int").alias("rule_no"), part[2].cast("int").alias("start"), part[3].cast("int").alias("edit_no"), "n_after")
-    v = R.verified(c, m.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n_before")), after)
+    """Corrected sentences are tagged again and matched by all rules; suggestions that leave as many matches are dropped."""
+    v = R.corrections(toks(spark, sf_dir, True), MATCHED, _retagged)
     return v.groupBy("doc_id", "edit_no").agg(F.count("*").alias("n_suggested"), F.sum("n_after").cast("long").alias("n_errors_left"))
 
 
