@@ -123,14 +123,16 @@ def _starts(r: Rule, code: str) -> Column:
     return F.when(F.length(code) >= min_length(r), found).otherwise(F.array())
 
 
-def n_matches(r: Rule, code: str) -> Column:
+def n_matches(r: Rule, code: Column) -> Column:
     """How many matches one rule has in a sentence's letters.
 
-    A token that passes none of the rule's tests parts matches, so they are looked for in the runs between such tokens:
-    the work grows with the sentence's length, and with the square of a run's only.
+    Matches of a rule whose left context has one length, and that matches one token at least, are as many as the places at
+    which its expression fits: one pass of the expression as a look-ahead.
     """
-    runs = F.filter(F.regexp_extract_all(code, F.lit(f"[^{LETTERS[0]}]+"), F.lit(0)), lambda run: F.length(run) >= min_length(r))
-    return F.aggregate(runs, F.lit(0), lambda n, run: n + F.size(F.array_distinct(_found(r, run))))
+    left, middle = r.elements[: r.left], r.elements[r.left : len(r.elements) - r.right]
+    if all(not e.times for e in left) and any(e.times in ("", "+") for e in middle):
+        return F.regexp_count(code, F.lit(f"(?={pattern(r)[1:]})"))
+    return F.size(F.array_distinct(_found(r, code)))
 
 
 def matches(toks: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -170,6 +172,11 @@ def with_matches(s: DataFrame, rules: list[Rule], ts: str = "ts", name: str = "f
     return s.withColumn(name, F.array_distinct(F.concat(*[_starts(r, c) for r, c in zip(rules, codes, strict=True)]))).drop(*codes)
 
 
+def count_of(rules: list[Rule], ts: str) -> Column:
+    """Matches of all rules together in an array of tokens."""
+    return sum((n_matches(r, F.expr(code_of(ts, r))) for r in rules), F.lit(0))
+
+
 def corrections(toks: DataFrame, rules: list[Rule], retag: Callable[[Column], Column], c: RuleConfig = RULES) -> DataFrame:
     """ER3 to ER5, ER8 to ER10 in one go: suggestions that leave fewer matches, of all rules, than there were.
 
@@ -177,11 +184,11 @@ def corrections(toks: DataFrame, rules: list[Rule], retag: Callable[[Column], Co
     throughout: matched, edited, tagged again (``retag``: word -> struct of norm, tag and cls) and matched again by all
     rules; nothing is joined.
     """
-    s = with_matches(sentences(toks), rules)
     # of a rule that offers to change nothing every match is a false alarm
     useful = [r for r in rules if r.edits and not (c.same_as_original_is_false_alarm and any(e.op == "nothing" for e in r.edits))]
-    tried = F.filter("found", lambda m: m["rule_no"].isin([r.no for r in useful]))
-    s = s.select("doc_id", "sent_id", "ts", F.size("found").alias("n_before"), F.explode(tried).alias("m")).select("doc_id", "sent_id", "ts", "n_before", "m.*")
+    s = sentences(toks).where(count_of(useful, "ts") > 0)  # sentences that there is something to correct in
+    s = with_matches(s.withColumn("n_before", count_of(rules, "ts")), useful)
+    s = s.select("doc_id", "sent_id", "ts", "n_before", F.explode("found").alias("m")).select("doc_id", "sent_id", "ts", "n_before", "m.*")
     edits = F.when(F.lit(False), F.lit(None))
     for r in useful:
         own = F.array(*[F.struct(F.lit(i).alias("edit_no"), _edited(F.col("ts"), F.col("start"), e, retag(F.lit(e.word))).alias("new")) for i, e in enumerate(r.edits)])
@@ -194,9 +201,7 @@ def corrections(toks: DataFrame, rules: list[Rule], retag: Callable[[Column], Co
     ok = F.col("e.new") != F.col("ts")
     e = e.where(ok if c.accept_repeated_suggestions else ok & ~repeated)
     e = e.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "n_before", F.col("e.edit_no").alias("edit_no"), F.col("e.new").alias("new"))
-    codes = [f"_c{r.no}" for r in rules]
-    e = e.select("*", *[F.expr(code_of("new", r)).alias(c) for r, c in zip(rules, codes, strict=True)])
-    e = e.withColumn("n_after", sum((n_matches(r, c) for r, c in zip(rules, codes, strict=True)), F.lit(0))).drop(*codes)
+    e = e.withColumn("n_after", count_of(rules, "new"))
     e = e.where(F.lit(c.accept_not_improving) | (F.col("n_after") < F.col("n_before")))
     w = Window.partitionBy("doc_id", "sent_id", "rule_no", "start").orderBy(F.desc("edit_no"))
     e = e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= c.max_suggestions)
