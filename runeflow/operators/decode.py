@@ -102,6 +102,11 @@ def capital_factor(capped: Column, proper: Column, known: Column, c: TaggingConf
     return F.when(known & fits, c.alpha_cap).when(known, c.alpha_no_cap).when(fits, c.alpha_unknown_cap).otherwise(c.alpha_unknown_no_cap)
 
 
+def selected(fixed: str, decoded: str) -> Column:
+    """DE8, DE11: a tag that is given sticks; others are the decoder's."""
+    return F.coalesce(fixed, decoded)
+
+
 MOST, LONGEST, TOGETHER = 6, 400, 1024
 """Sentences with more readings of a token, a token without any, or more tokens are decoded one by one, others so many together."""
 

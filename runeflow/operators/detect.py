@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runeflow.config import DETECTOR
+
 
 def windows(toks: DataFrame) -> DataFrame:
     """PR1: (doc_id, sent_id, pos, t1, t2, t3) for each three tags in a row; ``pos`` is the middle one's."""
@@ -42,10 +44,25 @@ def _expanded(tri: DataFrame, reps: DataFrame) -> DataFrame:
     return out.join(seen, ["r1", "r2", "r3"]).withColumn("v", F.col("freq") * F.col("s1") * F.col("s2") * F.col("s3"))
 
 
-def represented(tri: DataFrame, reps: DataFrame) -> DataFrame:
-    """PR2, PR4: sums over representatives, each weighted by half for every rank."""
-    weight = F.pow(F.lit(2.0), F.col("k1") + F.col("k2") + F.col("k3") - 3)
-    return _expanded(tri, reps).groupBy("t1", "t2", "t3").agg(F.sum(F.col("v") / weight).alias("score"))
+def represented(tri: DataFrame, reps: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """PR2, PR4, PR5: sums over representatives, weighted by half for every rank or by the weights given for the ranks."""
+    x = _expanded(tri, reps)
+    if weights is None:
+        value = F.col("v") / F.pow(F.lit(2.0), F.col("k1") + F.col("k2") + F.col("k3") - 3)
+    else:
+        given = F.array(*[F.lit(float(w)) for w in weights])
+        x = x.where(F.greatest("k1", "k2", "k3") <= len(weights))
+        value = F.col("v") * F.element_at(given, F.col("k1")) * F.element_at(given, F.col("k2")) * F.element_at(given, F.col("k3"))
+    return x.groupBy("t1", "t2", "t3").agg(F.sum(value).alias("score"))
+
+
+def default_scheme(tri: DataFrame, reps: DataFrame, uni: DataFrame, first: int = DETECTOR.first_representatives) -> DataFrame:
+    """PR3: ``first_only``, the sum over the first representatives (scheme 4); ``relative``, over all, a thousand times per product of the tags' frequencies (3)."""
+    x = _expanded(tri, reps)
+    s = x.groupBy("t1", "t2", "t3").agg(F.sum(F.when(F.greatest("k1", "k2", "k3") <= first, F.col("v")).otherwise(0.0)).alias("first_only"), F.sum("v").alias("total"))
+    for i in (1, 2, 3):
+        s = s.join(uni.select(F.col("tag").alias(f"t{i}"), F.col("freq").cast("double").alias(f"n{i}")), f"t{i}")
+    return s.withColumn("relative", 1000 * F.col("total") / (F.col("n1") * F.col("n2") * F.col("n3")))
 
 
 def schemes(tri: DataFrame, reps: DataFrame) -> DataFrame:

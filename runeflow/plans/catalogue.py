@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
-MODULES = ("text_queries", "model_queries", "lexicon_queries", "tagging_queries", "rule_queries", "evaluation_queries", "source_queries", "further_queries")
+MODULES = ("text_queries", "model_queries", "lexicon_queries", "tagging_queries", "rule_queries", "evaluation_queries", "source_queries", "further_queries", "rule_file_queries", "model_modes_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

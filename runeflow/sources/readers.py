@@ -123,3 +123,15 @@ def read_config(kind: type, text: str):
     if set(d) != names:
         raise ValueError(f"settings differ: {sorted(set(d) ^ names)}")
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})
+
+
+def taginfo(lines: DataFrame) -> DataFrame:
+    """IO4, FE5: lines ``+|-``, tag, lemma's tag, roles, parted by tabs -> (tag, is_content, lemma_tag, roles)."""
+    p = F.split("value", "\t")
+    return lines.select(p[1].alias("tag"), (p[0] == "+").alias("is_content"), F.coalesce(F.nullif(F.get(p, F.lit(2)), F.lit("")), p[1]).alias("lemma_tag"), F.slice(p, F.lit(4), F.greatest(F.size(p) - 3, F.lit(0))).alias("roles"))
+
+
+def word_list(lines: DataFrame) -> DataFrame:
+    """IO6: lines of a word and its marks (foreign, style, ..), parted by tabs -> (word, marks)."""
+    p = F.split("value", "\t")
+    return lines.select(p[0].alias("word"), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))).alias("marks"))
