@@ -145,7 +145,9 @@ def matches(toks: DataFrame, rules: list[Rule]) -> DataFrame:
     strings = [F.array_join(F.col("ts")[f"c{i}"], "").alias(f"c{i}") for i in range(len(rules))]
     s = s.select("doc_id", "sent_id", *strings)
     found = [_starts(r, f"c{i}") for i, r in enumerate(rules)]
-    return s.select("doc_id", "sent_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "sent_id", "m.*").distinct()
+    # outer: else the optimizer infers a filter on what is exploded, and works out a sentence's letters for every place of it again
+    m = s.select("doc_id", "sent_id", F.explode_outer(F.concat(*found)).alias("m")).where("m is not null")
+    return m.select("doc_id", "sent_id", "m.*").distinct()
 
 
 def on_field(test: str, of: str) -> str:
@@ -188,7 +190,7 @@ def corrections(toks: DataFrame, rules: list[Rule], retag: Callable[[Column], Co
     useful = [r for r in rules if r.edits and not (c.same_as_original_is_false_alarm and any(e.op == "nothing" for e in r.edits))]
     s = sentences(toks).where(count_of(useful, "ts") > 0)  # sentences that there is something to correct in
     s = with_matches(s.withColumn("n_before", count_of(rules, "ts")), useful)
-    s = s.select("doc_id", "sent_id", "ts", "n_before", F.explode("found").alias("m")).select("doc_id", "sent_id", "ts", "n_before", "m.*")
+    s = s.select("doc_id", "sent_id", "ts", "n_before", F.explode_outer("found").alias("m")).where("m is not null").select("doc_id", "sent_id", "ts", "n_before", "m.*")
     edits = F.when(F.lit(False), F.lit(None))
     for r in useful:
         own = F.array(*[F.struct(F.lit(i).alias("edit_no"), _edited(F.col("ts"), F.col("start"), e, retag(F.lit(e.word))).alias("new")) for i, e in enumerate(r.edits)])

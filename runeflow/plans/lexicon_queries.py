@@ -107,13 +107,13 @@ def lx14(spark, sf_dir):
     return L.paradigm(_vocabulary(spark, sf_dir), L.rule_table(spark, RULES))
 
 
-@query("lx8_get_form", W + _RT + _PA + " SELECT p.word, p.form AS plural FROM pa p JOIN pa q ON q.word = p.word AND q.tag = 'nn.sin' AND q.form = q.word JOIN vo ON vo.word = p.form WHERE p.tag = 'nn.plu'")
+@query("lx8_get_form", W + _RT + _PA + " SELECT p.word, p.form AS plural, vo.word IS NOT NULL AS known FROM pa p JOIN pa q ON q.word = p.word AND q.tag = 'nn.sin' AND q.form = q.word LEFT JOIN vo ON vo.word = p.form WHERE p.tag = 'nn.plu'")
 def lx8(spark, sf_dir):
-    """The plural of nouns whose rule gives their present form back, if it is a word of the corpus."""
+    """The plural of nouns whose rule gives their present form back, and whether it is a word of the corpus."""
     v = _vocabulary(spark, sf_dir)
     p = L.paradigm(v, L.rule_table(spark, RULES))
     sure = p.where("tag = 'nn.sin' and form = word").select("word")
-    return p.where("tag = 'nn.plu'").join(sure, "word", "left_semi").select("word", F.col("form").alias("plural")).join(v.select(F.col("word").alias("plural")), "plural", "left_semi").select("word", "plural")
+    return p.where("tag = 'nn.plu'").join(sure, "word", "left_semi").select("word", F.col("form").alias("plural")).join(v.select(F.col("word").alias("plural"), F.lit(True).alias("known")), "plural", "left").select("word", "plural", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query("lx15_unused_rules", W + _RT + " SELECT DISTINCT name AS rule FROM rt WHERE rule_no NOT IN (SELECT rule_no FROM ap)")
@@ -162,7 +162,10 @@ def lx18_all(spark, sf_dir):
     return s.join(heads, "head").groupBy("word").agg(F.max_by("rule", "n").alias("rule"))
 
 
-@query("lx22_more_word_forms", W + _RT + _PA + _WT + ", c AS (SELECT DISTINCT form AS word, tag FROM pa WHERE form IS NOT NULL) SELECT c.word, c.tag FROM c WHERE word IN (SELECT word FROM wt) AND NOT EXISTS (SELECT 1 FROM wt WHERE wt.word = c.word AND wt.tag = c.tag) AND c.word NOT IN (SELECT word FROM ap)")
+_ONCE = (_RT + _PA + _WT).replace("vo AS (", "vo AS MATERIALIZED (").replace("ap AS (", "ap AS MATERIALIZED (").replace("wt AS (", "wt AS MATERIALIZED (")
+
+
+@query("lx22_more_word_forms", W.replace("wd AS (", "wd AS MATERIALIZED (") + _ONCE + ", c AS (SELECT DISTINCT form AS word, tag FROM pa WHERE form IS NOT NULL) SELECT c.word, c.tag FROM c SEMI JOIN vo ON vo.word = c.word ANTI JOIN wt ON wt.word = c.word AND wt.tag = c.tag ANTI JOIN ap ON ap.word = c.word")
 def lx22(spark, sf_dir):
     """Generated forms that are known words but lack the tag, and have no rule of their own."""
     w = words(spark, sf_dir)

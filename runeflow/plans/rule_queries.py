@@ -110,7 +110,7 @@ def er5(spark, sf_dir):
     return c.groupBy("doc_id", "edit_no", "status").agg(F.count("*").alias("n"))
 
 
-@query("er5_false_alarms", T + _sql([THE]) + " SELECT 0::BIGINT AS n_left, count(*) AS n_matches FROM ma")
+@query("er5_false_alarms", T + _sql([THE]) + ", sw AS (SELECT doc_id, sent_id, list(norm ORDER BY pos) AS words FROM tk GROUP BY ALL) SELECT count(*) FILTER (list_concat(words[1:start], words[start + 1:]) <> words) AS n_left, count(*) AS n_matches FROM ma JOIN sw USING (doc_id, sent_id)")
 def er5_false(spark, sf_dir):
     """A correction that changes nothing makes the whole match a false alarm; the count of matches before stays."""
     t, s = _sentences(spark, sf_dir)
