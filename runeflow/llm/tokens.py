@@ -320,14 +320,45 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
     return manifest.select("shard", "base").repartition(n, "shard").mapInArrow(read, "doc_id long, shard int, ordinal long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup_in(f: pa.NativeFile, key: int) -> np.ndarray | None:
+    """The ids of the document with this key in an open shard; None if there is none.
+
+    Reads the header, the sizes of the levels, one block of bits of each level tried (1.5 on average), one rank, one slot,
+    one pair of starts and the ids: as many bytes in a shard of any size, but for the logarithm that the levels are.
+    """
+    head = f.read_at(48, 0)
+    if head[:8] != MAGIC:
+        raise ValueError("not a shard of token ids")
+    width, n, n_ids, _, n_levels = struct.unpack_from("<5q", head, 8)
+    starts_at = 48 + width * n_ids
+    at, levels = starts_at + 8 * (n + 1) + 9 * n, []
+    for _ in range(n_levels):
+        levels.append((struct.unpack("<q", f.read_at(8, at))[0], at + 8))
+        at += 8 + levels[-1][0] // 8
+    ranks_at, slots_at, block = at, at + 4 * (sum(size for size, _ in levels) // BLOCK), 0
+    wanted = np.array([key], np.int64)
+    for level, (size, bits_at) in enumerate(levels):
+        b, inside = divmod(int(_place(wanted, level, size)[0]), BLOCK)
+        bits = np.unpackbits(np.frombuffer(f.read_at(BLOCK // 8, bits_at + b * BLOCK // 8), np.uint8))
+        if bits[inside]:
+            slot = struct.unpack("<I", f.read_at(4, ranks_at + 4 * (block + b)))[0] + int(bits[:inside].sum())
+            fingerprint, ordinal = struct.unpack("<2I", f.read_at(8, slots_at + 8 * slot))
+            if fingerprint != int(fingerprints(wanted)[0]):
+                return None
+            first, last = struct.unpack("<2Q", f.read_at(16, starts_at + 8 * ordinal))
+            return np.frombuffer(f.read_at(width * (last - first), 48 + width * first), f"<u{width}")
+        block += size // BLOCK
+    return None
+
+
 def lookup(manifest: DataFrame, uri: str, key: int) -> np.ndarray | None:
-    """The ids of the document with this key."""
+    """The ids of the document with this key, read from the one shard that can hold it."""
     row = manifest.where(f"first_id <= {int(key)} or first_id is null").where(f"last_id >= {int(key)}").orderBy("shard").select("shard").first()
     if row is None:
         return None
-    s = read_shard(uri, row["shard"])
-    at = int(s.find(np.array([key], np.int64))[0])
-    return None if at < 0 else s.tokens(at)
+    fs, path = _open(uri)
+    with fs.open_input_file(f"{path}/ids-{row['shard']:07d}.bin") as f:
+        return lookup_in(f, int(key))
 
 
 def default_tokenizer() -> str:

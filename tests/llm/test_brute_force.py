@@ -294,6 +294,34 @@ def test_tokens(spark, plain):
     assert tokens.lookup(manifest, uri, 10**9) is None
 
 
+def test_lookup_reads_as_much_in_any_shard():
+    """Every key is found by seeks, others aren't; the bytes read don't grow with the shard."""
+
+    class File:
+        def __init__(self, raw):
+            self.raw, self.n = raw, 0
+
+        def read_at(self, n, at):
+            self.n += n
+            return self.raw[at : at + n]
+
+    most = []
+    for n in (1, 200, 20_000):
+        keys = np.sort(np.random.default_rng(n).choice(10**9, n, False)).astype(np.int64)
+        size = np.arange(n) % 5
+        starts = np.r_[0, np.cumsum(size)]
+        ids = (np.arange(starts[-1]) % 60_000).astype("<u2")
+        raw = tokens.shard_bytes(ids, starts, keys, np.ones(n, bool), 2)
+        read = []
+        for k in range(0, n, max(1, n // 300)):
+            f = File(raw)
+            assert tokens.lookup_in(f, int(keys[k])).tolist() == ids[starts[k] : starts[k + 1]].tolist()
+            read.append(f.n)
+        most.append(max(read))
+        assert sum(tokens.lookup_in(File(raw), int(k)) is not None for k in range(-300, 0)) == 0
+    assert max(most) < 1200 and len(raw) > 500_000
+
+
 def test_encoder_on_odd_white_space():
     from tokenizers import Tokenizer
 
