@@ -80,6 +80,9 @@ def tilt(hist: DataFrame, goals: DataFrame, cap: float, rounds: int = 80) -> Dat
         done = F.col("done") | F.coalesce(there, F.lit(False))
         keep = lambda new, old: F.when(F.col("done"), F.col(old)).otherwise(new)
         state = C.materialize(s.select("key", "mean", "target", keep(F.col("lo2"), "lo").alias("lo"), keep(F.col("hi2"), "hi").alias("hi"), F.when(done, F.col("lam")).otherwise(nxt).alias("lam"), done.alias("done")), "dual")
+    else:
+        if state.where("not done").limit(1).count():
+            raise RuntimeError(f"rates did not converge in {rounds} rounds")
     return state.select("key", "lam", "mean")
 
 
