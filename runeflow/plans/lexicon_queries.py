@@ -134,23 +134,10 @@ def lx16(spark, sf_dir):
 
 @query(
     "lx18_guess_rules",
-    W + _RT + """, sd AS (SELECT word, rule_no FROM ap WHERE length(word) <= 5), hd AS (SELECT vo.word, sd.rule_no, length(sd.word) AS n FROM vo JOIN sd ON length(vo.word) > length(sd.word) AND right(vo.word, length(sd.word)) = sd.word)
-SELECT word, min(name) AS rule FROM (SELECT word, rule_no FROM hd QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC) = 1) JOIN rt USING (rule_no) GROUP BY word""",
-)
-def lx18(spark, sf_dir):
-    """Longer words take the rule of the longest short word that they end in (an equi join on suffixes, not a scan of pairs)."""
-    v = _vocabulary(spark, sf_dir)
-    seeds = L.applicable(v, L.rule_table(spark, RULES)).where(F.length("word") <= 5).select(F.col("word").alias("head"), "rule")
-    s = v.select("word", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).where("length(word) > n").withColumn("head", F.expr("right(word, n)"))
-    return s.join(seeds, "head").groupBy("word").agg(F.max_by("rule", "n").alias("rule"))
-
-
-@query(
-    "lx18_guess_rules_all_heads",
     W + _RT + """, hd AS (SELECT v.word, ap.rule_no, n FROM (SELECT word, unnest(range(1, length(word))) AS n FROM vo) v JOIN ap ON ap.word = right(v.word, n))
 SELECT word, min(name) AS rule FROM (SELECT word, rule_no FROM hd QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC) = 1) JOIN rt USING (rule_no) GROUP BY word""",
 )
-def lx18_all(spark, sf_dir):
+def lx18(spark, sf_dir):
     """Longer words take the rule of the longest word that they end in, of any length.
 
     A rule that a compound head was given is that of the longest word with a rule of its own that the head ends in, and
@@ -215,15 +202,14 @@ def lx25(spark, sf_dir):
     return j.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "rk7_spelling_candidates",
-    W + ", v AS (SELECT norm AS word, count(*) AS freq FROM wd WHERE regexp_full_match(norm, '[a-z]{6,9}') GROUP BY norm), c AS (SELECT a.word, b.word AS candidate, levenshtein(a.word, b.word) AS edits, b.freq FROM v a JOIN v b ON a.freq = 1 AND b.freq >= 5 AND left(a.word, 3) = left(b.word, 3) AND abs(length(a.word) - length(b.word)) <= 2) SELECT * FROM (SELECT word, row_number() OVER (PARTITION BY word ORDER BY edits, freq DESC, candidate) AS rank, candidate, edits::INT AS edits FROM c WHERE edits BETWEEN 1 AND 2) WHERE rank <= 5",
-)
+@query("rk7_spelling_candidates")
 def rk7(spark, sf_dir):
+    """The five nearest words of the lexicon for each word that isn't in it; no SQL, as DuckDB counts edits of bytes."""
     from runeflow.operators import ranking as R
 
-    v = words(spark, sf_dir).where(F.col("norm").rlike("^[a-z]{6,9}$")).groupBy(F.col("norm").alias("word")).agg(F.count("*").alias("freq"))
-    s = L.spelling_candidates(v.where("freq = 1"), v.where("freq >= 5"))
+    w = words(spark, sf_dir)
+    v = w.groupBy(F.col("norm").alias("word")).agg(F.count("*").alias("freq"), F.countDistinct("doc_id").alias("n_docs"))
+    s = L.spelling_candidates(v.where("n_docs < 2"), v.where("n_docs >= 2"))
     return R.best(s, ["word"], [F.asc("edits"), F.desc("freq"), F.asc("candidate")], 5).select("word", "rank", "candidate", "edits")
 
 

@@ -22,15 +22,9 @@ def io14(spark, sf_dir):
     return readers.tagged(lines).groupBy(F.col("doc_id").alias("item_id"), "tag").agg(F.count("*").alias("n"))
 
 
-@query("io14_wtl_lines", T + "SELECT md5(tok || chr(9) || tag || chr(9) || lower(tok)) AS line, count(*) AS n FROM tk GROUP BY 1 HAVING count(*) >= 20")
+@query("io14_wtl_lines", T + "SELECT md5(tok || chr(9) || tag || chr(9) || lower(tok)) AS line, count(*) AS n FROM tk GROUP BY 1")
 def io14_wtl(spark, sf_dir):
-    lines = sinks.wtl_lines(toks(spark, sf_dir).withColumn("lemma", F.lit(None).cast("string")))
-    return lines.groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n")).where("n >= 20")
-
-
-@query("io14_wtl_all_lines", T + "SELECT md5(tok || chr(9) || tag || chr(9) || lower(tok)) AS line, count(*) AS n FROM tk GROUP BY 1")
-def io14_wtl_all(spark, sf_dir):
-    """IO14: every line, however rare; io14_wtl_lines shows the frequent ones."""
+    """IO14: every line, however rare."""
     lines = sinks.wtl_lines(toks(spark, sf_dir).withColumn("lemma", F.lit(None).cast("string")))
     return lines.groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n"))
 
