@@ -20,6 +20,25 @@ def ngram_counts(toks: DataFrame, col: str, n: int) -> DataFrame:
     return shifted(toks, col, n).where(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count("*").alias("freq"))
 
 
+def padded_trigrams(toks: DataFrame, col: str, edge: str) -> DataFrame:
+    """ST4, DE1: counts of triples in sentences with two delimiters on each side."""
+    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
+    t = toks.select(F.col(col).alias("t1"), F.lead(col, 1, edge).over(w).alias("t2"), F.lead(col, 2, edge).over(w).alias("t3"), (F.row_number().over(w) == 1).alias("first"))
+    c = t.groupBy("t1", "t2", "t3", "first").agg(F.count("*").alias("freq"))
+    e = F.lit(edge)
+    tri = F.array(F.struct("t1", "t2", "t3"), *[F.when(F.col("first"), F.struct(x.alias("t1"), y.alias("t2"), z.alias("t3"))) for x, y, z in ((e, F.col("t1"), F.col("t2")), (e, e, F.col("t1")))])
+    return c.select("freq", F.explode(tri).alias("x")).where("x is not null").groupBy("x.t1", "x.t2", "x.t3").agg(F.sum("freq").alias("freq"))
+
+
+def padded_counts(tri: DataFrame, edge: str) -> tuple[DataFrame, DataFrame]:
+    """Unigrams and bigrams of the same sentences: what the triples begin with, and the two delimiters at the end."""
+    last = tri.where((F.col("t1") == edge) & (F.col("t2") == edge))  # as many as there are sentences
+    bi = tri.select("t1", "t2", "freq").unionAll(last.select("t1", "t2", "freq")).groupBy("t1", "t2").agg(F.sum("freq").alias("freq"))
+    one = bi.select(F.col("t1").alias("tag"), "freq").unionAll(last.select("t1", "freq")).groupBy("tag").agg(F.sum("freq").alias("freq"))
+    total = one.agg(F.sum("freq").alias("total"))
+    return one.crossJoin(F.broadcast(total)).select("tag", "freq", (F.col("freq") / F.col("total")).alias("uni")), bi  # one row
+
+
 def unigrams(toks: DataFrame, col: str = "tag") -> DataFrame:
     """ST1: frequency and share of each tag; text-message tags count a millionth; verbs are poor compound parts."""
     t = toks.groupBy(F.col(col).alias("tag")).agg(F.count("*").alias("freq"))

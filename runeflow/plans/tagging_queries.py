@@ -46,7 +46,9 @@ def guessed_readings(unknown, w):
 
 def _decoded(spark, sf_dir, name="documents", doc_id="doc_id"):
     """Tokens of a table, tagged with a model of the documents: (doc_id, sent_id, log_prob, pos, gold, tag, known, cls)."""
-    uni, bi, tri = _counts(spark, sf_dir)
+    counted = N.padded_trigrams(toks(spark, sf_dir, True), "tag", D.EDGE)
+    tri = spark.createDataFrame(counted.collect(), counted.schema)  # bounded by the tag set; the tokens are counted once
+    uni, bi = N.padded_counts(tri, D.EDGE)
     model = D.read_model(N.bigram_scores(uni, bi), N.trigram_scores(uni, bi, tri))
     lex = D.top_readings(_lexical(N.word_tags(toks(spark, sf_dir))), C.known_readings).groupBy("word").agg(F.collect_list(F.struct("tag", "lex")).alias("rs"))
     is_word = F.col("cls").isin(*scan.WORDS)

@@ -1,5 +1,6 @@
 """Formulas, quirks and properties of the text engine on small inputs."""
 
+import collections
 import itertools
 import math
 import random
@@ -70,6 +71,24 @@ def test_smoothing_by_hand(spark):
     assert math.isclose(got["A"], p3["A", "A", "B"]) and math.isclose(got["B"], p2["A", "B"])
 
 
+def test_delimiters_are_counted_on_both_sides(spark):
+    sentences = ["AABA", "B", "AB"]
+    t = spark.createDataFrame([(0, k, i, x) for k, s in enumerate(sentences) for i, x in enumerate(s)], "doc_id long, sent_id long, pos int, tag string")
+    want = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for s in sentences:
+        full = (decode.EDGE, decode.EDGE, *s, decode.EDGE, decode.EDGE)
+        for n, c in enumerate(want, 1):
+            c.update(full[i : i + n] for i in range(len(full) - n + 1))
+    tri = ngrams.padded_trigrams(t, "tag", decode.EDGE)
+    uni, bi = ngrams.padded_counts(tri, decode.EDGE)
+    assert {(r["tag"],): r["freq"] for r in uni.collect()} == want[0] and math.isclose(sum(r["uni"] for r in uni.collect()), 1)
+    assert {(r["t1"], r["t2"]): r["freq"] for r in bi.collect()} == want[1]
+    assert {(r["t1"], r["t2"], r["t3"]): r["freq"] for r in tri.collect()} == want[2]
+    m = decode.read_model(ngrams.bigram_scores(uni, bi), ngrams.trigram_scores(uni, bi, tri))
+    assert {tuple(m.tags[i] for i in k) for k in m.triple} == set(want[2]) and (m.pair != 0).all()
+    assert m.pair[m.tags.index(decode.EDGE), m.tags.index("A")] > m.pair[m.tags.index(decode.EDGE), m.tags.index("B")]
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(1)
     tags = sorted(["A", "B", "C", decode.EDGE])
