@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeflow.config import TAGGING, TaggingConfig
@@ -20,6 +20,18 @@ def ngram_counts(toks: DataFrame, col: str, n: int) -> DataFrame:
     return shifted(toks, col, n).where(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count("*").alias("freq"))
 
 
+def triples_of(s: DataFrame, values: Column, *more: str) -> DataFrame:
+    """(.., t1, t2, t3) of each token and the two that follow it, over rows that hold a sentence; null past its end."""
+    v = s.select(*more, values.alias("v"))
+    x = F.arrays_zip(F.col("v").alias("t1"), F.slice("v", F.lit(2), F.size("v")).alias("t2"), F.slice("v", F.lit(3), F.size("v")).alias("t3"))
+    return v.select(*more, F.explode(x).alias("x")).select(*more, "x.t1", "x.t2", "x.t3")
+
+
+def row_trigrams(s: DataFrame, values: Column) -> DataFrame:
+    """ST4: counts of the triples of rows that hold a sentence; only counts leave a partition."""
+    return triples_of(s, values).groupBy("t1", "t2", "t3").agg(F.count("*").alias("freq"))
+
+
 def padded_trigrams(toks: DataFrame, col: str, edge: str) -> DataFrame:
     """ST4, DE1: counts of triples in sentences with two delimiters on each side."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runeflow.config import TAGGING as C
+from runeflow.functions import scan
 from runeflow.operators import ngrams as N
 from runeflow.operators import ranking as R
 from runeflow.plans.catalogue import query
-from runeflow.plans.text_queries import T, W, toks, words
+from runeflow.plans.text_queries import T, W, rows, toks, words
 
 _UNI = """, tg AS (SELECT tag, count(*) AS freq FROM tk GROUP BY tag), un AS (SELECT tag, freq, freq / (SELECT sum(freq) FROM tg) * CASE WHEN contains(tag, 'sms') THEN 1e-6 ELSE 1.0 END AS uni, CASE WHEN tag LIKE 'vb%' THEN 0.1 ELSE 1.0 END AS compound_prob FROM tg)"""
 _SH = """, sh AS (SELECT tag AS t1, lead(tag) OVER w AS t2, lead(tag, 2) OVER w AS t3 FROM tk WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
@@ -42,9 +43,12 @@ def st4(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    """Unigrams, bigrams and trigrams from one pass over the tokens: the counts of shifted tags hold all three."""
-    t = toks(spark, sf_dir, True)
-    all3 = N.shifted(t, "tag", 3).groupBy("t1", "t2", "t3").agg(F.count("*").alias("freq"))
+    """Unigrams, bigrams and trigrams from one pass over the sentences, each inside its row: the counts of shifted tags hold all three.
+
+    They are counted once and held as a table on the driver, which the tag set bounds.
+    """
+    counted = N.row_trigrams(rows(spark, sf_dir), F.transform("toks", scan.tag_of))
+    all3 = spark.createDataFrame(counted.collect(), counted.schema).coalesce(1)  # at most the cube of the tag set
     tri = all3.where("t3 is not null")
     bi = all3.where("t2 is not null").groupBy("t1", "t2").agg(F.sum("freq").alias("freq"))
     one = all3.groupBy(F.col("t1").alias("tag")).agg(F.sum("freq").alias("freq"))
@@ -91,9 +95,10 @@ SELECT word, tt.tag, round(pow(word_freq, -{C.alpha_extra}) * {C.lambda_extra}::
 )
 def st11(spark, sf_dir):
     """Words only seen with a capital get a lower-case reading as an extra one."""
-    wt = N.word_tags(words(spark, sf_dir))
-    low = wt.where("tag = 'word.low'").select("tag", "tag_total").distinct()  # one row
-    r = wt.where("tag = 'word.cap' and word_freq = tag_freq").select("word", "word_freq").crossJoin(F.broadcast(low)).withColumn("is_content", F.lit(True)).withColumn("lex", F.col("word_freq") / F.col("tag_total"))
+    w = words(spark, sf_dir)
+    low = w.where("tag = 'word.low'").groupBy("tag").agg(F.count("*").alias("tag_total"))  # one row
+    v = w.groupBy(F.col("norm").alias("word")).agg(F.count("*").alias("word_freq"), F.count_if(F.col("tag") == "word.cap").alias("capped")).where("capped = word_freq")
+    r = v.select("word", "word_freq").crossJoin(F.broadcast(low)).withColumn("is_content", F.lit(True)).withColumn("lex", F.col("word_freq") / F.col("tag_total"))
     return N.extra_scores(r).select("word", "tag", F.round("score", 12).alias("score"))
 
 

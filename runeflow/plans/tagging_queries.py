@@ -14,7 +14,7 @@ from runeflow.operators import lexicon as L
 from runeflow.operators import ngrams as N
 from runeflow.plans.catalogue import query, table
 from runeflow.plans.model_queries import _P2, _P3, _SH, _UNI, _WT, _counts
-from runeflow.plans.text_queries import T, W, toks, words
+from runeflow.plans.text_queries import T, W, rows, toks, words
 
 
 def _lexical(wt):
@@ -175,10 +175,12 @@ def pr3(spark, sf_dir):
 def pr7(spark, sf_dir):
     """Three detectors, joined by any, majority and all."""
     uni, bi, tri = _counts(spark, sf_dir)
-    # flags depend on the triple only, so they are joined to triples, and those to the windows
+    # flags depend on the triple only: a table of votes that the tag set bounds, looked up inside a sentence's row
     t = tri.join(bi.select("t1", "t2", F.col("freq").alias("f2")), ["t1", "t2"]).join(uni.select(F.col("tag").alias("t2"), F.col("freq").alias("f1")), "t2")
     n = (F.col("freq") < 10).cast("int") + (F.col("f2") < 50).cast("int") + (F.col("f1") < 500).cast("int")
-    w = _windows(spark, sf_dir).join(F.broadcast(t.select("t1", "t2", "t3", n.alias("votes"))), ["t1", "t2", "t3"])  # at most the cube of the tag set
+    votes = t.select("t1", "t2", "t3", n.alias("votes"))
+    w = N.triples_of(rows(spark, sf_dir), F.transform("toks", scan.tag_of), "doc_id").where("t3 is not null")
+    w = w.join(F.broadcast(votes), ["t1", "t2", "t3"])  # at most the cube of the tag set
     return w.groupBy("doc_id").agg(F.count_if(F.col("votes") >= 1).alias("any_model"), F.count_if(F.col("votes") >= 2).alias("majority"), F.count_if(F.col("votes") == 3).alias("all_models"))
 
 
