@@ -254,13 +254,16 @@ def active(f: RuleFile, off: tuple[str, ...] = ()) -> list[Rule]:
 
 def agreeing(found: DataFrame, sentences: DataFrame, f: RuleFile) -> DataFrame:
     """RU16: matches whose agreements hold; sentences: (doc_id, sent_id, ts), tokens with their tags."""
-    if not f.agreements:
-        return found
+    return found if not f.agreements else fitting(found.join(sentences, ["doc_id", "sent_id"]), f).select(*found.columns)
+
+
+def fitting(found: DataFrame, f: RuleFile) -> DataFrame:
+    """As agreeing, of matches whose rows hold their sentence's tokens ``ts``."""
     value = lambda at, k: F.get(F.split(F.get("ts", F.col("start") + at)["tag"], r"\."), F.lit(k))
     holds: Column = F.lit(True)
     for g in f.agreements:
         holds = holds & ((F.col("rule_no") != g.rule_no) | F.coalesce(compatible(value(g.a, g.value), value(g.b, g.value)), F.lit(False)))
-    return found.join(sentences, ["doc_id", "sent_id"]).where(holds).select(*found.columns)
+    return found.where(holds)
 
 
 def described(r: Rule) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeflow.config import RULES, RuleConfig
+from runeflow.functions import scan
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 """One for each set of at most six tests."""
@@ -111,7 +112,7 @@ def _found(r: Rule, code: Column) -> Column:
 
     def at(k: Column) -> Column:
         rest = F.substring(code, k + 1, F.length(code))
-        return F.struct((k + F.length(F.regexp_extract(rest, pattern(r), 1))).alias("start"), F.length(F.regexp_extract(rest, pattern(r), 2)).alias("n"))
+        return F.struct((k + F.length(F.regexp_extract(rest, pattern(r), 1)) if r.left else k).alias("start"), F.length(F.regexp_extract(rest, pattern(r), 2)).alias("n"))
 
     tried = F.filter(F.sequence(F.lit(0), F.length(code) - 1), lambda k: F.substring(code, k + 1, F.lit(1)).isin(first_letters(r)))
     return F.filter(F.transform(tried, at), lambda m: m["n"] > 0)
@@ -120,7 +121,7 @@ def _found(r: Rule, code: Column) -> Column:
 def _starts(r: Rule, code: str) -> Column:
     """All (rule_no, rule, start, n) of one rule in a sentence's letters, a string column."""
     found = F.transform(_found(r, F.col(code)), lambda m: F.struct(F.lit(r.no).alias("rule_no"), F.lit(r.name).alias("rule"), m["start"].alias("start"), m["n"].alias("n")))
-    return F.when(F.length(code) >= min_length(r), found).otherwise(F.array())
+    return F.when(F.col(code).rlike(pattern(r)[1:]), found).otherwise(F.array())  # one pass tells whether it is anywhere
 
 
 def n_matches(r: Rule, code: Column) -> Column:
@@ -167,6 +168,37 @@ def sentences(toks: DataFrame) -> DataFrame:
     return s.select("doc_id", "sent_id", F.transform("ts", lambda x: F.struct(x["norm"].alias("norm"), x["tag"].alias("tag"), x["cls"].alias("cls"))).alias("ts"))
 
 
+def tagged(s: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Rows of scan.sentence_rows with ``ts``, their tokens' norm, tag and cls: all three, or those that the rules ask for."""
+    asked = " ".join(re.sub(r"'(?:[^']|'')*'", "", letter(r)) for r in rules) if rules else "norm tag cls"
+    fields = {"norm": F.lower, "tag": scan.tag_of, "cls": scan.classify}
+    return s.withColumn("ts", F.transform("toks", lambda x: F.struct(*[f(x).alias(n) for n, f in fields.items() if n == "norm" or re.search(rf"\b{n}\b", asked)])))
+
+
+def row_matches(s: DataFrame, rules: list[Rule], jumps: bool = False) -> DataFrame:
+    """RU7, RU8, RU11, with ``jumps`` RU12: rows of scan.sentence_rows with ``found``, all their matches; nothing leaves its row."""
+    s = with_matches(s if "ts" in s.columns else tagged(s, rules), rules)
+    for r in sorted((r for r in rules if jumps and r.jump is not None), key=lambda r: r.no):
+        s = s.withColumn("found", _jumped(r))
+    return s
+
+
+def _jumped(r: Rule) -> Column:
+    """RU12: what is found without the matches that start inside one of a rule which jumps past theirs."""
+
+    def inside(m: Column) -> Column:
+        return F.exists("found", lambda j: (j["rule_no"] == r.no) & (j["start"] <= m["start"]) & (m["start"] < j["start"] + j["n"]))
+
+    return F.filter("found", lambda m: ~((m["rule_no"] > r.no) & (m["rule_no"] < r.jump) & inside(m)))
+
+
+def each_match(s: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, sent_id, .., rule_no, rule, start, n): one row for each match that rows hold."""
+    # outer: else the optimizer infers a filter on what is exploded, and works it out twice
+    m = s.select("doc_id", "sent_id", *more, F.explode_outer("found").alias("m")).where("m is not null")
+    return m.select("doc_id", "sent_id", *more, "m.*")
+
+
 def with_matches(s: DataFrame, rules: list[Rule], ts: str = "ts", name: str = "found") -> DataFrame:
     """Adds all matches of the rules, an array of (rule_no, rule, start, n), to rows that hold a sentence."""
     codes = [f"_c{r.no}" for r in rules]
@@ -179,16 +211,16 @@ def count_of(rules: list[Rule], ts: str) -> Column:
     return sum((n_matches(r, F.expr(code_of(ts, r))) for r in rules), F.lit(0))
 
 
-def corrections(toks: DataFrame, rules: list[Rule], retag: Callable[[Column], Column], c: RuleConfig = RULES) -> DataFrame:
+def corrections(s: DataFrame, rules: list[Rule], retag: Callable[[Column], Column], c: RuleConfig = RULES) -> DataFrame:
     """ER3 to ER5, ER8 to ER10 in one go: suggestions that leave fewer matches, of all rules, than there were.
 
     Returns (doc_id, sent_id, rule_no, rule, start, n, edit_no, words, n_before, n_after, place).  Each sentence is one row
     throughout: matched, edited, tagged again (``retag``: word -> struct of norm, tag and cls) and matched again by all
-    rules; nothing is joined.
+    rules; nothing is joined.  s: tokens, or rows with ``ts`` as ``tagged`` gives them.
     """
     # of a rule that offers to change nothing every match is a false alarm
     useful = [r for r in rules if r.edits and not (c.same_as_original_is_false_alarm and any(e.op == "nothing" for e in r.edits))]
-    s = sentences(toks).where(count_of(useful, "ts") > 0)  # sentences that there is something to correct in
+    s = (s if "ts" in s.columns else sentences(s)).select("doc_id", "sent_id", "ts").where(count_of(useful, "ts") > 0)  # sentences that there is something to correct in
     s = with_matches(s.withColumn("n_before", count_of(rules, "ts")), useful)
     s = s.select("doc_id", "sent_id", "ts", "n_before", F.explode_outer("found").alias("m")).where("m is not null").select("doc_id", "sent_id", "ts", "n_before", "m.*")
     edits = F.when(F.lit(False), F.lit(None))
@@ -235,6 +267,13 @@ def sequences(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "sent_id", "next"]).select("doc_id", "sent_id", "start", (F.col("n") + F.col("n2")).alias("n"))
 
 
+def sequences_in(s: DataFrame, first: int, second: int) -> DataFrame:
+    """As sequences, of two rules' matches in rows of row_matches: looked up inside the row."""
+    a = each_match(s.withColumn("all", F.filter("found", lambda m: m["rule_no"] == second)), "all").where(F.col("rule_no") == first)
+    b = F.filter("all", lambda m: m["start"] == F.col("start") + F.col("n"))
+    return a.select("doc_id", "sent_id", "start", "n", F.explode_outer(b).alias("b")).where("b is not null").select("doc_id", "sent_id", "start", (F.col("n") + F.col("b.n")).alias("n"))
+
+
 def _edited(words: Column, start: Column, e: Edit, word: Column | None = None) -> Column:
     word = F.lit(e.word) if word is None else word
     k = start + e.at
@@ -254,22 +293,24 @@ def candidates(found: DataFrame, sentences: DataFrame, rules: list[Rule], c: Rul
     sentences: (doc_id, sent_id, words).  Later edits come first; one equal to the original makes the whole match a false
     alarm; of equal ones the first in that order stays ``ok`` and the others are ``same_as_another``.
     """
-    f = found.join(sentences, ["doc_id", "sent_id"])
-    edits = F.array()
+    return edited(found.join(sentences, ["doc_id", "sent_id"]), rules, c)
+
+
+def edited(f: DataFrame, rules: list[Rule], c: RuleConfig = RULES) -> DataFrame:
+    """As candidates, of matches whose rows hold their sentence's ``words``; a match's corrections are compared inside its row."""
+    edits = F.when(F.lit(False), F.lit(None))
     for r in rules:
         if r.edits:
             own = F.array(*[F.struct(F.lit(i).alias("edit_no"), _edited(F.col("words"), F.col("start"), e).alias("new")) for i, e in enumerate(r.edits)])
-            edits = F.when(F.col("rule_no") == r.no, own).otherwise(edits) if r is not rules[0] else F.when(F.col("rule_no") == r.no, own)
-    x = f.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "words", F.explode(edits).alias("e")).select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "words", "e.edit_no", "e.new")
-    key = ["doc_id", "sent_id", "rule_no", "start"]
-    same = F.col("new") == F.col("words")
-    w = Window.partitionBy(*key)
-    x = x.withColumn("alarm", F.max(same).over(w)).withColumn("copy", F.row_number().over(Window.partitionBy(*key, "new").orderBy(F.desc("edit_no"))))
-    status = F.when(same, "same_as_original").when(F.col("copy") > 1, "same_as_another").otherwise("ok")
-    x = x.withColumn("status", status)
+            edits = edits.when(F.col("rule_no") == r.no, own)
+    x = f.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "words", edits.alias("es"))
+    x = x.withColumn("alarm", F.exists("es", lambda e: e["new"] == F.col("words")))
     if c.same_as_original_is_false_alarm:
         x = x.where(~F.col("alarm"))
-    return x.drop("alarm", "copy")
+    x = x.select("*", F.explode("es").alias("e"))
+    copy = F.exists("es", lambda y: (y["edit_no"] > F.col("e.edit_no")) & (y["new"] == F.col("e.new")))
+    status = F.when(F.col("e.new") == F.col("words"), "same_as_original").when(copy, "same_as_another").otherwise("ok")
+    return x.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "words", F.col("e.edit_no").alias("edit_no"), F.col("e.new").alias("new"), status.alias("status"))
 
 
 def verified(cands: DataFrame, n_errors: DataFrame, n_after: DataFrame, c: RuleConfig = RULES) -> DataFrame:

@@ -8,8 +8,8 @@ from runeflow.operators import rulefile as RF
 from runeflow.operators import rules as R
 from runeflow.plans import sql
 from runeflow.plans.catalogue import query
-from runeflow.plans.rule_queries import _JUMP, _matches, _sentences, _sql, ALL, ART, NP, OF_THE, THE
-from runeflow.plans.text_queries import T, toks
+from runeflow.plans.rule_queries import _JUMP, _matches, _sql, _with_words, ALL, ART, NP, OF_THE, THE
+from runeflow.plans.text_queries import T, rows, toks
 
 TEXT = """
 category article: wrong article
@@ -54,8 +54,7 @@ _FIT = ", fi AS (SELECT ma.* FROM ma JOIN (SELECT doc_id, sent_id, list(tag ORDE
 
 
 def _found(spark, sf_dir, rules=RULES):
-    t = toks(spark, sf_dir, True)
-    return RF.agreeing(R.matches(t, rules), R.sentences(t), FILE)
+    return RF.fitting(R.each_match(R.row_matches(R.tagged(rows(spark, sf_dir)), rules), "ts"), FILE)
 
 
 @query("ru1_rule_file", T + _like(_sql(RULES)) + _FIT + " SELECT doc_id, rule, count(*) AS n, sum(n)::BIGINT AS n_tokens FROM fi GROUP BY ALL")
@@ -67,13 +66,13 @@ def ru1(spark, sf_dir):
 @query("ru3_inactive_category", T + _like(_sql([r for r in RULES if r.category != "style"])) + " SELECT rule_no, rule, count(*) AS n FROM ma GROUP BY ALL")
 def ru3(spark, sf_dir):
     """One category switched off; help rules are never active."""
-    return R.matches(toks(spark, sf_dir, True), RF.active(FILE, off=("style",))).groupBy("rule_no", "rule").agg(F.count("*").alias("n"))
+    return _matches(spark, sf_dir, RF.active(FILE, off=("style",))).groupBy("rule_no", "rule").agg(F.count("*").alias("n"))
 
 
 @query("ru24_rule_profile", T + _like(_sql(RULES)) + ", p AS (SELECT rule, count(*) AS n FROM ma GROUP BY rule) SELECT rule, n, round(n / sum(n) OVER (), 6) AS share FROM p QUALIFY n / sum(n) OVER () > 0.01")
 def ru24(spark, sf_dir):
     """Rules that take more than a hundredth of all matches."""
-    n = R.matches(toks(spark, sf_dir, True), RULES).groupBy("rule").agg(F.count("*").alias("n"))
+    n = _matches(spark, sf_dir, RULES).groupBy("rule").agg(F.count("*").alias("n"))
     share = F.col("n") / F.col("total")
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).where(share > 0.01).select("rule", "n", F.round(share, 6).alias("share"))  # one row for each rule
 
@@ -107,17 +106,15 @@ _SW = ", sw AS (SELECT doc_id, sent_id, list(norm ORDER BY pos) AS words FROM tk
 @query("er7_marked_area", T + _sql([NP]) + _SW + " SELECT doc_id, CASE WHEN n = len(words) THEN 'whole' ELSE 'part' END AS marked, count(*) AS n, sum(CASE WHEN n = len(words) THEN 0 ELSE n END)::BIGINT AS area FROM ma JOIN sw USING (doc_id, sent_id) GROUP BY ALL")
 def er7(spark, sf_dir):
     """Without marks of its own a match is marked as a whole; if that is the whole sentence the marked area is empty."""
-    t, s = _sentences(spark, sf_dir)
-    whole = F.col("n") == F.size("words")
-    j = R.matches(t, [NP]).join(s, ["doc_id", "sent_id"])
+    j = R.each_match(R.row_matches(rows(spark, sf_dir), [NP]).withColumn("size", F.size("toks")), "size")
+    whole = F.col("n") == F.col("size")
     return j.groupBy("doc_id", F.when(whole, "whole").otherwise("part").alias("marked")).agg(F.count("*").alias("n"), F.sum(F.when(whole, 0).otherwise(F.col("n"))).cast("long").alias("area"))
 
 
 @query("er11_suggestion_text", T + _sql([ART]) + _SW + " SELECT doc_id, sent_id, start, edit_no, CASE edit_no WHEN 1 THEN words[start + 2] ELSE 'an ' || words[start + 2] END AS suggestion FROM ma JOIN sw USING (doc_id, sent_id), (VALUES (1), (2)) e(edit_no)")
 def er11(spark, sf_dir):
     """The corrected words in place of the marked ones."""
-    t, s = _sentences(spark, sf_dir)
-    c = R.candidates(R.matches(t, [ART]), s, [ART]).where("status = 'ok'")
+    c = R.edited(_with_words(spark, sf_dir, [ART]), [ART]).where("status = 'ok'")
     n = F.col("n") + F.size("new") - F.size("words")
     return c.select("doc_id", "sent_id", F.col("start").cast("long").alias("start"), "edit_no", F.array_join(F.slice("new", F.col("start") + 1, n), " ").alias("suggestion"))
 
@@ -127,9 +124,9 @@ def er14(spark, sf_dir):
     """All errors of every text, numbered in the order in which they stand."""
     from pyspark.sql import Window
 
-    _, s = _sentences(spark, sf_dir)
-    k = R.reported(R.suppressed(_matches(spark, sf_dir, ALL), ALL), ALL)
+    k = R.reported(_with_words(spark, sf_dir, ALL, jumps=True), ALL)
     of = spark.createDataFrame([(r.no, r.category) for r in ALL], "rule_no int, category string")
     w = Window.partitionBy("doc_id").orderBy("sent_id", "start", "rule_no", "n")
-    j = k.join(F.broadcast(of), "rule_no").join(s, ["doc_id", "sent_id"])
-    return j.select("doc_id", F.row_number().over(w).cast("long").alias("error_no"), "sent_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), "rule", "category", F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ").alias("marked"))
+    marked = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")
+    j = k.select("doc_id", "sent_id", "rule_no", "rule", "start", "n", marked.alias("marked")).join(F.broadcast(of), "rule_no")  # the rules
+    return j.select("doc_id", F.row_number().over(w).cast("long").alias("error_no"), "sent_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), "rule", "category", "marked")

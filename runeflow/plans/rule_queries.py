@@ -10,7 +10,7 @@ from runeflow.operators import rules as R
 from runeflow.operators.rules import Edit, Element, Rule
 from runeflow.plans import sql
 from runeflow.plans.catalogue import query, table
-from runeflow.plans.text_queries import T, toks
+from runeflow.plans.text_queries import T, rows, toks
 
 VOWEL = "left(norm, 1) IN ('a', 'e', 'i', 'o', 'u')"
 ART = Rule(1, "a_vowel", "article", (Element("norm = 'a'"), Element(VOWEL)), edits=(Edit("replace", 0, "an"), Edit("delete", 0), Edit("replace", 0, "an")))
@@ -34,7 +34,7 @@ def _sql(rules) -> str:
 
 
 def _matches(spark, sf_dir, rules):
-    return R.matches(toks(spark, sf_dir, True), rules)
+    return R.each_match(R.row_matches(rows(spark, sf_dir), rules))
 
 
 def _per_rule(m):
@@ -65,22 +65,21 @@ _JUMP = ", jp AS (SELECT DISTINCT doc_id, sent_id, unnest(range(start, start + n
 @query("ru12_jump_suppression", T + _sql([OF_THE, THE]) + _JUMP + " SELECT doc_id, count(*) FILTER (rule_no = 2) AS n_accepting, count(*) FILTER (rule_no = 3) AS n_left FROM kp GROUP BY doc_id")
 def ru12(spark, sf_dir):
     rules = [OF_THE, THE]
-    k = R.suppressed(_matches(spark, sf_dir, rules), rules)
+    k = R.each_match(R.row_matches(rows(spark, sf_dir), rules, jumps=True))
     return k.groupBy("doc_id").agg(F.count_if(F.col("rule_no") == 2).alias("n_accepting"), F.count_if(F.col("rule_no") == 3).alias("n_left"))
 
 
 @query("ru10_help_rules", T + _sql([NP, PREP]) + " SELECT a.doc_id, count(*) AS n, max(a.n + b.n) AS longest FROM ma a JOIN ma b ON a.rule_no = 6 AND b.rule_no = 4 AND a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.start = a.start + a.n GROUP BY a.doc_id")
 def ru10(spark, sf_dir):
     """A preposition followed by a noun phrase: two help rules put together."""
-    m = _matches(spark, sf_dir, [NP, PREP])
-    s = R.sequences(m.where("rule_no = 6"), m.where("rule_no = 4"))
+    s = R.sequences_in(R.row_matches(rows(spark, sf_dir), [NP, PREP]), PREP.no, NP.no)
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n").cast("long").alias("longest"))
 
 
 @query("ev13_category_usage", T + _sql(ALL) + _JUMP + f", ct(category) AS (VALUES {', '.join(f'({sql.quoted(c)})' for c in CATEGORIES)}), rc(rule_no, category) AS (VALUES {', '.join(f'({r.no}, {sql.quoted(r.category)})' for r in ALL if not r.accepting)}) SELECT ct.category, count(kp.rule_no) AS n FROM ct LEFT JOIN rc USING (category) LEFT JOIN kp ON kp.rule_no = rc.rule_no GROUP BY ct.category")
 def ev13(spark, sf_dir):
     """IO18: matches of each category, those without any included."""
-    k = R.reported(R.suppressed(_matches(spark, sf_dir, ALL), ALL), ALL).groupBy("rule_no").agg(F.count("*").alias("k"))
+    k = R.reported(R.each_match(R.row_matches(rows(spark, sf_dir), ALL, jumps=True)), ALL).groupBy("rule_no").agg(F.count("*").alias("k"))
     of = spark.createDataFrame([(r.no, r.category) for r in ALL], "rule_no int, category string")
     n = k.join(F.broadcast(of), "rule_no").groupBy("category").agg(F.sum("k").alias("k"))
     return spark.createDataFrame([(c,) for c in CATEGORIES], "category string").join(n, "category", "left").select("category", F.coalesce("k", F.lit(0)).alias("n"))
@@ -93,10 +92,10 @@ def er6(spark, sf_dir):
     return E.islands(m, ["doc_id", "sent_id"]).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.max("n").alias("longest"), F.sum("n").alias("n_marked"))
 
 
-def _sentences(spark, sf_dir):
-    t = toks(spark, sf_dir, True)
-    s = t.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("ts"))
-    return t, s.select("doc_id", "sent_id", F.transform("ts", lambda x: x["norm"]).alias("words"))
+def _with_words(spark, sf_dir, rules, jumps=False):
+    """Matches beside the words of their sentence, which are in the same row already."""
+    s = R.row_matches(rows(spark, sf_dir), rules, jumps)
+    return R.each_match(s.withColumn("words", F.transform("toks", F.lower)), "words")
 
 
 _CAND = """, sw AS (SELECT doc_id, sent_id, list(norm ORDER BY pos) AS words FROM tk GROUP BY ALL), ca AS (SELECT ma.doc_id, ma.sent_id, ma.start, e.edit_no, words, CASE e.op WHEN 'delete' THEN list_concat(words[1:start], words[start + 2:]) ELSE list_concat(words[1:start], ['an'], words[start + 2:]) END AS new
@@ -105,17 +104,15 @@ FROM ma JOIN sw USING (doc_id, sent_id), (VALUES (0, 'replace'), (1, 'delete'),
 
 @query("er5_correction_status", T + _sql([ART]) + _CAND + " SELECT doc_id, edit_no, status, count(*) AS n FROM cs GROUP BY ALL")
 def er5(spark, sf_dir):
-    t, s = _sentences(spark, sf_dir)
-    c = R.candidates(R.matches(t, [ART]), s, [ART])
+    c = R.edited(_with_words(spark, sf_dir, [ART]), [ART])
     return c.groupBy("doc_id", "edit_no", "status").agg(F.count("*").alias("n"))
 
 
 @query("er5_false_alarms", T + _sql([THE]) + ", sw AS (SELECT doc_id, sent_id, list(norm ORDER BY pos) AS words FROM tk GROUP BY ALL) SELECT count(*) FILTER (list_concat(words[1:start], words[start + 1:]) <> words) AS n_left, count(*) AS n_matches FROM ma JOIN sw USING (doc_id, sent_id)")
 def er5_false(spark, sf_dir):
     """A correction that changes nothing makes the whole match a false alarm; the count of matches before stays."""
-    t, s = _sentences(spark, sf_dir)
-    m = R.matches(t, [THE])
-    return m.agg(F.count("*").alias("n_matches")).crossJoin(R.candidates(m, s, [THE]).agg(F.count("*").alias("n_left"))).select("n_left", "n_matches")  # one row each
+    m = _with_words(spark, sf_dir, [THE])
+    return m.agg(F.count("*").alias("n_matches")).crossJoin(R.edited(m, [THE]).agg(F.count("*").alias("n_left"))).select("n_left", "n_matches")  # one row each
 
 
 MATCHED = [ART, THE, NP, CONTEXT]
@@ -145,25 +142,21 @@ SELECT ca.doc_id, edit_no, count(*) AS n_suggested, sum(coalesce(n_after, 0))::B
 @query("er8_suggestions_verified", T + _sql(MATCHED) + _VER)
 def er8(spark, sf_dir):
     """Corrected sentences are tagged again and matched by all rules; suggestions that leave as many matches are dropped."""
-    v = R.corrections(toks(spark, sf_dir, True), MATCHED, _retagged)
+    v = R.corrections(R.tagged(rows(spark, sf_dir)), MATCHED, _retagged)
     return v.groupBy("doc_id", "edit_no").agg(F.count("*").alias("n_suggested"), F.sum("n_after").cast("long").alias("n_errors_left"))
 
 
 @query("io17_error_records", T + _sql([ART]) + """, sw AS (SELECT doc_id, sent_id, list(tok ORDER BY pos) AS words FROM tk GROUP BY ALL) SELECT ma.doc_id, ma.sent_id, '<gramerror rule="' || rule || '"><marked>' || replace(replace(replace(replace(replace(array_to_string(words[start + 1:start + n], ' '), '&', '&amp;'), '''', '&apos;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '</marked><mark begin="' || start || '" end="' || (start + n - 1) || '"/></gramerror>' AS xml FROM ma JOIN sw USING (doc_id, sent_id)""")
 def io17(spark, sf_dir):
-    t = toks(spark, sf_dir, True)
-    s = t.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("ts"))
-    j = R.matches(t, [ART]).join(s, ["doc_id", "sent_id"])
-    marked = R.escaped(F.array_join(F.transform(F.slice("ts", F.col("start") + 1, F.col("n")), lambda x: x["tok"]), " "))
+    j = R.each_match(R.row_matches(rows(spark, sf_dir), [ART]), "toks")
+    marked = R.escaped(F.array_join(F.slice("toks", F.col("start") + 1, F.col("n")), " "))
     return j.select("doc_id", "sent_id", F.format_string('<gramerror rule="%s"><marked>%s</marked><mark begin="%d" end="%d"/></gramerror>', "rule", marked, "start", F.expr("start + n - 1")).alias("xml"))
 
 
 @query("io19_keyword_in_context", T + _sql([ART]) + ", sw AS (SELECT doc_id, sent_id, list(tok ORDER BY pos) AS w FROM tk GROUP BY ALL) SELECT ma.doc_id, ma.sent_id, start, array_to_string(w[greatest(start - 2, 1):start], ' ') || ' [' || array_to_string(w[start + 1:start + n], ' ') || '] ' || array_to_string(w[start + n + 1:start + n + 3], ' ') AS line FROM ma JOIN sw USING (doc_id, sent_id)")
 def io19(spark, sf_dir):
     """The skeleton of a new annotation: the suspect in brackets among its neighbours."""
-    t = toks(spark, sf_dir, True)
-    s = t.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("w"))
-    j = R.matches(t, [ART]).join(s, ["doc_id", "sent_id"])
+    j = R.each_match(R.row_matches(rows(spark, sf_dir), [ART]), "toks").withColumnRenamed("toks", "w")
     a, n = F.col("start"), F.col("n")
     first = F.greatest(a - 2, F.lit(1))
     line = F.concat(F.array_join(F.slice("w", first, a - first + 1), " "), F.lit(" ["), F.array_join(F.slice("w", a + 1, n), " "), F.lit("] "), F.array_join(F.slice("w", a + n + 1, F.lit(3)), " "))
