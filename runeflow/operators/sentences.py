@@ -25,6 +25,23 @@ def repeated_words(words: DataFrame) -> DataFrame:
     return words.withColumn("repeated", F.coalesce(same, F.lit(False))).where("repeated")
 
 
+def repeats(toks: Column) -> Column:
+    """SE7: whether a sentence's tokens hold two equal words in a row."""
+    w = F.transform(F.filter(toks, scan.is_word), F.lower)
+    last = F.lit(None).cast("string")
+    start = F.struct(last.alias("last"), F.lit(False).alias("hit"))
+    return F.aggregate(w, start, lambda a, x: F.struct(x.alias("last"), (a["hit"] | F.coalesce(a["last"] == x, F.lit(False))).alias("hit")), lambda a: a["hit"])
+
+
+def repeated_in(s: DataFrame) -> DataFrame:
+    """As repeated_words, (doc_id, sent_id, pos), over rows of scan.numbered_rows: neighbours are compared inside the row."""
+    parts = F.transform("parts", lambda x, i: F.struct(i.alias("i"), x.alias("tok")))
+    s = s.select("doc_id", "sent_id", "first", F.transform(F.filter(parts, lambda x: scan.is_word(x["tok"])), lambda x: F.struct(x["i"].alias("i"), F.lower(x["tok"]).alias("norm"))).alias("w"))
+    both = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))
+    hit = F.transform(F.filter(both, lambda x: x["a"]["norm"] == x["b"]["norm"]), lambda x: x["b"]["i"])
+    return s.select("doc_id", "sent_id", "first", F.explode_outer(hit).alias("i")).where("i is not null").select("doc_id", "sent_id", (F.col("first") + F.col("i")).alias("pos"))
+
+
 def repeated_ngrams(words: DataFrame, size: int) -> DataFrame:
     """SE7: last words of a word sequence of the given length that directly follows its equal within a sentence."""
     w = Window.partitionBy("doc_id").orderBy("pos")

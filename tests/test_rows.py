@@ -40,3 +40,13 @@ def test_matches_leave_no_row(spark, tmp_path):
     spark.createDataFrame([(0, "It was a apple.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for found in (rule_queries._matches(spark, str(tmp_path), rule_queries.ALL), rule_file_queries._found(spark, str(tmp_path))):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_two_detectors_are_read_once_and_not_dealt(spark, tmp_path):
+    rows = [(0, "A word word here."), (1, "Word. Word word-word"), (2, "the The"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = catalogue.queries()["ev14_detector_overlap"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("both", 1), ("first", 1), ("second", 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents") <= 1 and "RepartitionByExpression" not in plan and "Window" not in plan and plan.count("regexp_extract_all(text") == 1
