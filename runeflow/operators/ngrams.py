@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeflow.config import TAGGING, TaggingConfig
+from runeflow.functions import pieces
 
 
 def shifted(toks: DataFrame, col: str, n: int) -> DataFrame:
@@ -32,6 +35,52 @@ def row_trigrams(s: DataFrame, values: Column) -> DataFrame:
     return triples_of(s, values).groupBy("t1", "t2", "t3").agg(F.count("*").alias("freq"))
 
 
+def scanned_trigrams(docs: DataFrame, edge: str | None = None, text: str = "text") -> DataFrame:
+    """ST4, DE1: (t1, t2, t3, freq) of tags within sentences, counted while texts are scanned; a few rows leave each partition.
+
+    Without ``edge`` the last tokens' triples have nulls; with it sentences have two delimiters on each side.
+    """
+    names, size = (edge, *pieces.TAGS), len(pieces.TAGS) + 1
+
+    def run(batches):
+        s, n = pieces.Scanner(), np.zeros(size**3, np.int64)
+        for whole in batches:
+            for b in pieces.slices(whole, text):
+                t = s.scan(b.column(text))
+                first = t.starts()
+                one = s.tag[t.tok].astype(np.int64) + 1
+                two = np.r_[np.where(first[1:], 0, one[1:]), [0] * min(len(one), 1)]
+                three = np.r_[np.where(first[1:], 0, two[1:]), [0] * min(len(one), 1)]
+                n += np.bincount((one * size + two) * size + three, minlength=size**3)
+                if edge is not None:
+                    n += np.bincount(np.r_[one[first], one[first] * size + two[first]], minlength=size**3)
+        seen = np.flatnonzero(n)
+        columns = [pieces.strings(names, x) for x in (seen // size**2, seen // size % size, seen % size)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n[seen])], ["t1", "t2", "t3", "freq"])
+
+    return docs.select(text).mapInArrow(run, "t1 string, t2 string, t3 string, freq long").groupBy("t1", "t2", "t3").agg(F.sum("freq").alias("freq"))
+
+
+def bucket_words(docs: DataFrame) -> DataFrame:
+    """(bucket, word, tag, n): the words of each bucket's texts (bucket, text), counted while they are scanned: a word leaves a bucket once."""
+
+    def run(batches):
+        s = pieces.Scanner()
+        for whole in batches:
+            buckets = np.asarray(whole.column("bucket"))
+            for k in np.unique(buckets).tolist():
+                n: dict[tuple[str, int], int] = {}
+                for b in pieces.slices(whole.take(pa.array(np.flatnonzero(buckets == k)))):
+                    used, freq = np.unique(s.scan(b.column("text")).tok, return_counts=True)
+                    tag = s.tag
+                    for i, f in zip(used.tolist(), freq.tolist(), strict=True):
+                        key = (s.toks[i].lower(), int(tag[i]))
+                        n[key] = n.get(key, 0) + f
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array([x for x, _ in n], pa.string()), pieces.strings(pieces.TAGS, np.array([x for _, x in n], np.int64)), pa.array(list(n.values()), pa.int64())], ["bucket", "word", "tag", "n"])
+
+    return docs.select("bucket", "text").mapInArrow(run, "bucket int, word string, tag string, n long")
+
+
 def padded_trigrams(toks: DataFrame, col: str, edge: str) -> DataFrame:
     """ST4, DE1: counts of triples in sentences with two delimiters on each side."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")

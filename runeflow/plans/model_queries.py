@@ -8,7 +8,7 @@ from runeflow.config import TAGGING as C
 from runeflow.functions import scan
 from runeflow.operators import ngrams as N
 from runeflow.operators import ranking as R
-from runeflow.plans.catalogue import query
+from runeflow.plans.catalogue import query, table
 from runeflow.plans.text_queries import T, W, rows, toks, words
 
 _UNI = """, tg AS (SELECT tag, count(*) AS freq FROM tk GROUP BY tag), un AS (SELECT tag, freq, freq / (SELECT sum(freq) FROM tg) * CASE WHEN contains(tag, 'sms') THEN 1e-6 ELSE 1.0 END AS uni, CASE WHEN tag LIKE 'vb%' THEN 0.1 ELSE 1.0 END AS compound_prob FROM tg)"""
@@ -43,11 +43,11 @@ def st4(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    """Unigrams, bigrams and trigrams from one pass over the sentences, each inside its row: the counts of shifted tags hold all three.
+    """Unigrams, bigrams and trigrams from one pass over the texts: the counts of shifted tags hold all three.
 
     They are counted once and held as a table on the driver, which the tag set bounds.
     """
-    counted = N.row_trigrams(rows(spark, sf_dir), F.transform("toks", scan.tag_of))
+    counted = N.scanned_trigrams(table(spark, sf_dir, "documents"))
     all3 = spark.createDataFrame(counted.collect(), counted.schema).coalesce(1)  # at most the cube of the tag set
     tri = all3.where("t3 is not null")
     bi = all3.where("t2 is not null").groupBy("t1", "t2").agg(F.sum("freq").alias("freq"))
