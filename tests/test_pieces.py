@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runeflow.functions import pieces, scan
 from runeflow.operators import ngrams
-from runeflow.plans import catalogue
+from runeflow.plans import catalogue, tagging_queries
 from tests.test_rows import PIECES, texts
 
 
@@ -40,3 +40,16 @@ def test_triples_counted_while_scanning_are_those_of_shifted_tags(spark, tmp_pat
         catalogue.queries()[name](spark, str(tmp_path)).collect()
     d.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert catalogue.queries()["st6_trigram_smoothed"](spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_texts_are_decoded_in_buckets_and_no_token_is_dealt(spark, tmp_path, monkeypatch):
+    d = [(i, x) for i, x in enumerate(["The cat sat. The Cat ran to NATO.", "the nato cat sat, the dog ran", "", None, "A dog! Nato the Dog 12 dogs", "word " * 500 + "Word."])]
+    spark.createDataFrame(d, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {}
+    for n in (10**6, 20):
+        monkeypatch.setattr(tagging_queries, "BUCKET", n)
+        got = catalogue.queries()["de1_viterbi_tags"](spark, str(tmp_path))
+        rows[n] = sorted(map(tuple, got.collect()))
+    assert rows[20] == rows[10**6] and {r[5] for r in rows[20]} >= {"word.low", "word.cap", "period"} and all(r[6] for r in rows[20])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Window" not in plan
