@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeflow.config import RULES, RuleConfig
-from runeflow.functions import scan
+from runeflow.functions import pieces, scan
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 """One for each set of at most six tests."""
@@ -192,6 +195,91 @@ def _jumped(r: Rule) -> Column:
     return F.filter("found", lambda m: ~((m["rule_no"] > r.no) & (m["rule_no"] < r.jump) & inside(m)))
 
 
+_SQL = re.compile(r"('(?:[^'\\]|''|\\.)*')|(<>|<=|>=|[=<>(),])|(\d+)|(\w+)|\s+")
+_KNOWN = {"=": "==", "<>": "!=", "AND": "and", "OR": "or", "NOT": "not", "IN": "in", "norm": "norm", "tag": "tag", "cls": "cls", "length": "len", "left": "left", "right": "right", "regexp_like": "regexp_like"}
+_CALLS = {"len": len, "left": lambda x, n: x[:n], "right": lambda x, n: x[-n:] if n else "", "regexp_like": lambda x, p: bool(_regexp(p).search(x))}
+
+
+@cache
+def _regexp(p: str) -> re.Pattern:
+    return re.compile(pieces.python_pattern(p))
+
+
+def predicate(tests: list[str]) -> Callable[[str, str, str], tuple[bool, ...]] | None:
+    """Tests on norm, tag and cls as one function in Python, so that a token is tested once a worker; None if one holds more than comparisons, lists and the functions of rule files."""
+    out = []
+    for test in tests:
+        words, at = [], 0
+        while at < len(test):
+            m = _SQL.match(test, at)
+            if not m or m[4] and m[4] not in _KNOWN:
+                return None
+            if m[1]:
+                words.append(repr(re.sub(r"\\(.)", r"\1", m[1][1:-1].replace("''", "'"))))
+            elif m[0].strip():
+                words.append(_KNOWN.get(m[0], m[0]))
+            at = m.end()
+        for k, w in enumerate(words):  # a list of one value is a tuple, too
+            if w == "in":
+                words[words.index(")", k)] = ",)"
+        out.append(f"({' '.join(words)})")
+    try:
+        return eval(f"lambda norm, tag, cls: ({', '.join(out)},)", dict(_CALLS))  # noqa: S307: nothing but what is in _KNOWN
+    except SyntaxError:
+        return None
+
+
+def scanned_matches(docs: DataFrame, rules: list[Rule], jumps: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As each_match over row_matches, matched while texts are scanned: (doc_id, sent_id, rule_no, rule, start, n, size), ``size`` the sentence's tokens.
+
+    A token's letters are looked up by its number.  All sentences of some texts are one string of letters, with a letter
+    that no test gives between them, so an expression goes over them once and no match leaves its sentence.
+    """
+    asked = list(dict.fromkeys(t for r in rules for t in tests(r)))
+    if predicate(asked) is None:
+        return each_match(row_matches(scan.sentence_rows(docs, doc_id, text), rules, jumps).withColumn("size", F.size("toks")), "size").select("doc_id", "sent_id", "rule_no", "rule", "start", "n", "size")
+
+    def run(batches):
+        s, test, known, age = pieces.Scanner(), predicate(asked), [], 0
+        letters, forms = np.frombuffer(LETTERS.encode(), np.uint8), [re.compile(f"(?={pattern(r)[1:]})".encode()) for r in rules]
+        for whole in batches:
+            for b in pieces.slices(whole, text):
+                t = s.scan(b.column(text))
+                if not len(t.tok):
+                    continue
+                if age != s.age:
+                    known, age = [], s.age
+                for tok, k, c in zip(s.toks[len(known) :], s.tag[len(known) :].tolist(), s.cls[len(known) :].tolist(), strict=True):
+                    known.append(test(tok.lower(), pieces.TAGS[k], pieces.CLASSES[c]))
+                used, at = np.unique(t.tok, return_inverse=True)
+                passed = np.array([known[k] for k in used.tolist()], np.uint8)
+                first = t.starts()
+                no = np.cumsum(first) - 1  # of the sentence
+                begin = np.flatnonzero(first)
+                size = np.diff(np.r_[begin, len(first)])
+                place = np.arange(len(first)) + no + 1  # in the string of letters
+                found = []
+                for i, r in enumerate(rules):
+                    code = np.full(len(first) + len(begin) + 1, 10, np.uint8)
+                    code[place] = letters[passed[:, [asked.index(x) for x in tests(r)]] @ (1 << np.arange(len(tests(r))))][at]
+                    got = np.array([(m.start(2), m.end(2)) for m in forms[i].finditer(code.tobytes()) if m.end(2) > m.start(2)], np.int64).reshape(-1, 2)
+                    got = np.unique(got, axis=0) if r.left else got
+                    found.append(np.c_[np.full(len(got), i), np.searchsorted(place, got[:, 0]), got[:, 1] - got[:, 0]])
+                x = np.concatenate(found)
+                for i, r in sorted(((i, r) for i, r in enumerate(rules) if jumps and r.jump is not None), key=lambda y: y[1].no):
+                    own = x[x[:, 0] == i]
+                    change = np.bincount(own[:, 1], minlength=len(first) + 1) - np.bincount(own[:, 1] + own[:, 2], minlength=len(first) + 1)
+                    over = np.array([r.no < q.no < r.jump for q in rules])
+                    x = x[~(over[x[:, 0]] & (np.cumsum(change)[x[:, 1]] > 0))]
+                which, start, n = x.T
+                ints = [pa.array(y.astype(np.int32)) for y in (np.array([r.no for r in rules])[which], start - begin[no[start]], n, size[no[start]])]
+                columns = [b.column(doc_id).take(pa.array(t.row[start])), pa.array(t.sent[start]), ints[0], pieces.strings([r.name for r in rules], which), *ints[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sent_id", "rule_no", "rule", "start", "n", "size"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, sent_id long, rule_no int, rule string, start int, n int, size int")
+
+
 def each_match(s: DataFrame, *more: str) -> DataFrame:
     """(doc_id, sent_id, .., rule_no, rule, start, n): one row for each match that rows hold."""
     # outer: else the optimizer infers a filter on what is exploded, and works it out twice

@@ -106,7 +106,7 @@ _SW = ", sw AS (SELECT doc_id, sent_id, list(norm ORDER BY pos) AS words FROM tk
 @query("er7_marked_area", T + _sql([NP]) + _SW + " SELECT doc_id, CASE WHEN n = len(words) THEN 'whole' ELSE 'part' END AS marked, count(*) AS n, sum(CASE WHEN n = len(words) THEN 0 ELSE n END)::BIGINT AS area FROM ma JOIN sw USING (doc_id, sent_id) GROUP BY ALL")
 def er7(spark, sf_dir):
     """Without marks of its own a match is marked as a whole; if that is the whole sentence the marked area is empty."""
-    j = R.each_match(R.row_matches(rows(spark, sf_dir), [NP]).withColumn("size", F.size("toks")), "size")
+    j = _matches(spark, sf_dir, [NP])
     whole = F.col("n") == F.col("size")
     return j.groupBy("doc_id", F.when(whole, "whole").otherwise("part").alias("marked")).agg(F.count("*").alias("n"), F.sum(F.when(whole, 0).otherwise(F.col("n"))).cast("long").alias("area"))
 

@@ -33,8 +33,8 @@ def _sql(rules) -> str:
     return f", sc AS (SELECT doc_id, sent_id, {codes} FROM tk GROUP BY ALL), st AS (SELECT *, unnest(range(0, length(c{rules[0].no}))) AS k FROM sc), ma AS (SELECT * FROM ({each}) WHERE n > 0)"
 
 
-def _matches(spark, sf_dir, rules):
-    return R.each_match(R.row_matches(rows(spark, sf_dir), rules))
+def _matches(spark, sf_dir, rules, jumps=False):
+    return R.scanned_matches(table(spark, sf_dir, "documents"), rules, jumps)
 
 
 def _per_rule(m):
@@ -65,7 +65,7 @@ _JUMP = ", jp AS (SELECT DISTINCT doc_id, sent_id, unnest(range(start, start + n
 @query("ru12_jump_suppression", T + _sql([OF_THE, THE]) + _JUMP + " SELECT doc_id, count(*) FILTER (rule_no = 2) AS n_accepting, count(*) FILTER (rule_no = 3) AS n_left FROM kp GROUP BY doc_id")
 def ru12(spark, sf_dir):
     rules = [OF_THE, THE]
-    k = R.each_match(R.row_matches(rows(spark, sf_dir), rules, jumps=True))
+    k = _matches(spark, sf_dir, rules, jumps=True)
     return k.groupBy("doc_id").agg(F.count_if(F.col("rule_no") == 2).alias("n_accepting"), F.count_if(F.col("rule_no") == 3).alias("n_left"))
 
 
@@ -79,7 +79,7 @@ def ru10(spark, sf_dir):
 @query("ev13_category_usage", T + _sql(ALL) + _JUMP + f", ct(category) AS (VALUES {', '.join(f'({sql.quoted(c)})' for c in CATEGORIES)}), rc(rule_no, category) AS (VALUES {', '.join(f'({r.no}, {sql.quoted(r.category)})' for r in ALL if not r.accepting)}) SELECT ct.category, count(kp.rule_no) AS n FROM ct LEFT JOIN rc USING (category) LEFT JOIN kp ON kp.rule_no = rc.rule_no GROUP BY ct.category")
 def ev13(spark, sf_dir):
     """IO18: matches of each category, those without any included."""
-    k = R.reported(R.each_match(R.row_matches(rows(spark, sf_dir), ALL, jumps=True)), ALL).groupBy("rule_no").agg(F.count("*").alias("k"))
+    k = R.reported(_matches(spark, sf_dir, ALL, jumps=True), ALL).groupBy("rule_no").agg(F.count("*").alias("k"))
     of = spark.createDataFrame([(r.no, r.category) for r in ALL], "rule_no int, category string")
     n = k.join(F.broadcast(of), "rule_no").groupBy("category").agg(F.sum("k").alias("k"))
     return spark.createDataFrame([(c,) for c in CATEGORIES], "category string").join(n, "category", "left").select("category", F.coalesce("k", F.lit(0)).alias("n"))

@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runeflow.functions import pieces, scan
-from runeflow.operators import ngrams
-from runeflow.plans import catalogue, tagging_queries
+from runeflow.operators import ngrams, rules
+from runeflow.plans import catalogue, rule_file_queries, rule_queries, tagging_queries
 from tests.test_rows import PIECES, texts
 
 
@@ -53,3 +53,20 @@ def test_texts_are_decoded_in_buckets_and_no_token_is_dealt(spark, tmp_path, mon
     assert rows[20] == rows[10**6] and {r[5] for r in rows[20]} >= {"word.low", "word.cap", "period"} and all(r[6] for r in rows[20])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "Window" not in plan
+
+
+def test_rules_matched_while_scanning_give_the_matches_of_rows(spark, monkeypatch):
+    own = ["of the Apple of a cat. the the, a apple of the Of THE programme programmes and a", "the word! of a low low.", "", None, "a", "It's the 10 % of the word-\nword"]
+    d = spark.createDataFrame(list(enumerate([*own, *texts()[:200]])), "doc_id long, text string")
+    E, Rule = rules.Element, rules.Rule
+    more = [Rule(7, "loose", "style", (E("norm = 'the'", "*"), E("tag = 'word.low' OR NOT (cls = 'period')"), E("norm <> 'it''s'", "?")), left=1), *rule_file_queries.RULES]
+    rows = lambda df: sorted(map(str, df.select("doc_id", "sent_id", "rule_no", "rule", "start", "n").collect()))
+    for rs in ([*rule_queries.ALL, *more],):
+        for jumps in (False, True):
+            want = rows(rules.each_match(rules.row_matches(rules.tagged(scan.sentence_rows(d)), rs, jumps)))
+            got = rules.scanned_matches(d, rs, jumps)
+            assert rows(got) == want and len(want) > 30
+            assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert rules.predicate(["norm = 'a'", "abs(1) = 1"]) is None
+    odd = [Rule(1, "odd", "style", (E("reverse(norm) = 'eht'"),))]
+    assert {r["size"] for r in rules.scanned_matches(d, odd).collect()} == {3, 6, 7, 13}
