@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runeflow.config import TAGGING, TaggingConfig
+from runeflow.operators.spelling import spelling_pairs
 
 VOWELS = "aeiouyáéíóúàèìòùâêîôûäöüåæø"
 
@@ -73,44 +74,10 @@ def compound_splits(words: DataFrame, parts: DataFrame, c: TaggingConfig = TAGGI
     return s.join(parts.select(F.col("word").alias("head")), "head", "left_semi").join(parts.select(F.col("word").alias("tail")), "tail", "left_semi").select("word", "head", "tail")
 
 
-def _deletions(word: Column) -> Column:
-    """The distinct strings left of a word without up to two of its letters."""
-
-    def one(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(one(word)), one)))
-
-
-def _pieces(word: Column, length: Column, number: int, shifts: int) -> Column:
-    """The ``number``-th third of a word of ``length`` letters, at up to ``shifts`` places before and after its own."""
-    begin = F.floor(length * number / 3).cast("int") + 1
-    size = F.floor(length * (number + 1) / 3).cast("int") + 1 - begin
-    at = F.filter(F.sequence(begin - shifts, begin + shifts), lambda i: (i >= 1) & (i + size <= F.length(word) + 1))
-    return F.transform(at, lambda i: F.substring(word, i, size))
-
-
-def spelling_candidates(unknown: DataFrame, known: DataFrame, short: int = 10) -> DataFrame:
-    """RK7, LX25: (word, candidate, edits, freq) for all known words one or two edits away, two words with no letter in common aside.
-
-    Known words of up to ``short`` letters have a string in common with such a word when up to two letters of each are
-    deleted.  Of three pieces of a longer one two edits leave one whole, at most two places away.  Both are equi joins on
-    keys whose number a word's length bounds for the first and is 75 at most for the second.
-    """
-    u, k = unknown.select("word"), known.select(F.col("word").alias("candidate"), "freq")
-    su = u.where(F.length("word") <= short + 2).select("word", F.explode(_deletions(F.col("word"))).alias("key"))
-    sk = k.where(F.length("candidate") <= short).select("candidate", "freq", F.explode(_deletions(F.col("candidate"))).alias("key"))
-    near = su.where("key <> ''").join(sk.where("key <> ''"), "key")
-
-    def keys(word: str, length: Column, shifts: int) -> Column:
-        return F.flatten(F.array(*[F.arrays_zip(F.array_repeat(F.concat_ws(" ", length, F.lit(i)), F.size(p)).alias("n"), p.alias("s")) for i in range(3) for p in [_pieces(F.col(word), length, i, shifts)]]))
-
-    lu = u.where(F.length("word") > short - 2).select("word", F.explode(F.sequence(F.greatest(F.length("word") - 2, F.lit(short + 1)), F.length("word") + 2)).alias("n"))
-    lu = lu.select("word", F.explode(F.array_distinct(keys("word", F.col("n"), 2))).alias("key"))
-    lk = k.where(F.length("candidate") > short).select("candidate", "freq", F.explode(keys("candidate", F.length("candidate"), 0)).alias("key"))
-    both = near.select("word", "candidate", "freq").unionByName(lu.join(lk, "key").select("word", "candidate", "freq"))
-    both = both.withColumn("edits", F.levenshtein("word", "candidate", 2)).where(F.col("edits").between(1, 2))
-    return both.groupBy("word", "candidate").agg(F.first("edits").alias("edits"), F.first("freq").alias("freq"))
+def spelling_candidates(unknown: DataFrame, known: DataFrame, best: int | None = None) -> DataFrame:
+    """RK7, LX25: (word, candidate, edits, freq) for all known words one or two edits away, two words with no letter in common aside; as ``spelling_pairs``."""
+    freq = F.col("freq").cast("long").alias("freq")
+    return spelling_pairs(unknown.select("word", F.lit(0).cast("long").alias("freq"), F.lit(False).alias("known")).unionByName(known.select("word", freq, F.lit(True).alias("known"))), best)
 
 
 def unknown_readings(unknown: DataFrame, suffixes: DataFrame, c: TaggingConfig = TAGGING) -> DataFrame:

@@ -81,6 +81,41 @@ def bucket_words(docs: DataFrame) -> DataFrame:
     return docs.select("bucket", "text").mapInArrow(run, "bucket int, word string, tag string, n long")
 
 
+def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(word, freq, known): all words in small letters, counted while texts are scanned; known are those of two documents or more."""
+
+    def rows(toks, freq, lo, hi):
+        used = np.flatnonzero(freq)
+        ids = [pa.array(x[used], mask=lo[used] > hi[used]) for x in (lo, hi)]
+        return pa.RecordBatch.from_arrays([pa.array([toks[i] for i in used.tolist()], pa.string()), pa.array(freq[used]), *ids], ["tok", "freq", "lo", "hi"])
+
+    def run(batches):
+        s, age = pieces.Scanner(), -1
+        least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        for whole in batches:
+            for b in pieces.slices(whole):
+                t = s.scan(b.column("text"))
+                if s.age != age:
+                    if age >= 0:
+                        yield rows(toks, freq, lo, hi)
+                    age, toks, freq, lo, hi = s.age, s.toks, *[np.full(0, x, np.int64) for x in (0, most, least)]
+                freq, lo, hi = (np.r_[x, np.full(len(toks) - len(x), y)] for x, y in ((freq, 0), (lo, most), (hi, least)))
+                words = s.is_word()[t.tok]
+                tok, row = t.tok[words], t.row[words]
+                freq += np.bincount(tok, minlength=len(toks))
+                ids = b.column("doc_id")
+                has = np.asarray(ids.is_valid())[row]
+                ids = np.asarray(ids.fill_null(0))[row]
+                np.minimum.at(lo, tok[has], ids[has])
+                np.maximum.at(hi, tok[has], ids[has])
+        if age >= 0:
+            yield rows(toks, freq, lo, hi)
+
+    n = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "tok string, freq long, lo long, hi long")
+    n = n.groupBy(F.lower("tok").alias("word")).agg(F.sum("freq").alias("freq"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return n.select("word", "freq", F.coalesce(F.col("lo") < F.col("hi"), F.lit(False)).alias("known"))
+
+
 def padded_trigrams(toks: DataFrame, col: str, edge: str) -> DataFrame:
     """ST4, DE1: counts of triples in sentences with two delimiters on each side."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")

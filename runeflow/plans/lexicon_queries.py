@@ -10,7 +10,7 @@ from runeflow.operators import features as FE
 from runeflow.operators import lexicon as L
 from runeflow.operators import ngrams as N
 from runeflow.plans import sql
-from runeflow.plans.catalogue import query
+from runeflow.plans.catalogue import query, table
 from runeflow.plans.model_queries import _SX, _WT
 from runeflow.plans.text_queries import W, lexicon, words
 
@@ -206,10 +206,9 @@ def lx25(spark, sf_dir):
 def rk7(spark, sf_dir):
     """The five nearest words of the lexicon for each word that isn't in it; no SQL, as DuckDB counts edits of bytes."""
     from runeflow.operators import ranking as R
+    from runeflow.operators import spelling as SP
 
-    w = words(spark, sf_dir)
-    v = w.groupBy(F.col("norm").alias("word")).agg(F.count("*").alias("freq"), F.countDistinct("doc_id").alias("n_docs"))
-    s = L.spelling_candidates(v.where("n_docs < 2"), v.where("n_docs >= 2"))
+    s = SP.spelling_pairs(N.vocabulary(table(spark, sf_dir, "documents")), 5)
     return R.best(s, ["word"], [F.asc("edits"), F.desc("freq"), F.asc("candidate")], 5).select("word", "rank", "candidate", "edits")
 
 
