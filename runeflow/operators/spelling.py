@@ -8,6 +8,9 @@ are enough: keys and rows grow with the words, not with their pairs.
 
 A key goes to the slot of its smallest three letters in a row (by hash), which many keys of a word share: words are sent to
 slots, some 13 times each, and their keys are made again where they meet.
+
+Known words of more than ``LONG`` letters would have too many keys: two edits leave one of three pieces of such a word whole, at
+most two places away, and pairs with a piece in common are all tried.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOT_BITS, HELD, ROUTED, GRAM = 12, 150_000, 2048, 3
-"""Slots; words that a task holds at once, one slot's at least; words that are sent to slots at once; letters that choose a slot."""
+SLOT_BITS, HELD, ROUTED, GRAM, LONG = 12, 150_000, 2048, 3, 32
+"""Slots; words that a task holds at once, one slot's at least; words that are sent to slots at once; letters that choose a slot; letters of the longest known word with such keys."""
 #: Letters deleted and left open in an unknown word's key, the same for a known word's, edits.
 JOINS = (
     ((1, 0), (0, 0), 1), ((0, 0), (1, 0), 1), ((0, 1), (0, 1), 1),
@@ -131,7 +135,7 @@ class _Side:
         letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
         begin = np.cumsum(length) - length
         self.whole = np.zeros(len(words), np.uint64)
-        self._at = {n: np.flatnonzero(length == n) for n in np.unique(length).tolist() if n}
+        self._at = {n: np.flatnonzero(length == n) for n in np.unique(length).tolist() if 0 < n <= LONG + 2}
         self._letters = lambda n: letters[begin[self._at[n]][:, None] + np.arange(n)]
         self._made: dict[int, _Words] = {}
         self.lengths = set(self._at)
@@ -146,6 +150,32 @@ class _Side:
         self._made.pop(n, None)
 
 
+def _pieces(word: str, known: bool) -> set[tuple[int, int, str]]:
+    """Length of the known word, which third of it, its letters."""
+    out = set()
+    for n in [len(word)] if known else range(max(len(word) - 2, LONG + 1), len(word) + 3):
+        for i in range(3 if n > LONG else 0):
+            begin, end = n * i // 3, n * (i + 1) // 3
+            out |= {(n, i, word[begin + x : end + x]) for x in ([0] if known else range(-2, 3)) if 0 <= begin + x and end + x <= len(word)}
+    return out
+
+
+def _piece_slot(piece: tuple[int, int, str]) -> int:
+    return crc32("{} {} {}".format(*piece).encode()) >> (32 - SLOT_BITS)
+
+
+def _long_pairs(unknown: pa.Array, known: pa.Array, mine: np.ndarray) -> tuple[list[int], list[int]]:
+    """Words that have a piece in common; they may be more than two edits apart."""
+    at: dict[tuple[int, int, str], list[int]] = {}
+    for k in np.flatnonzero(np.asarray(pc.utf8_length(known)) > LONG).tolist():
+        for x in _pieces(known[k].as_py(), True):
+            at.setdefault(x, []).append(k)
+    out = set()
+    for u in np.flatnonzero(np.asarray(pc.utf8_length(unknown)) > LONG - 2).tolist() if at else ():
+        out |= {(u, k) for x in _pieces(unknown[u].as_py(), False) if x in at and mine[_piece_slot(x)] for k in at[x]}
+    return [u for u, _ in out], [k for _, k in out]
+
+
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word to the slots of its keys."""
 
@@ -157,9 +187,13 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(at), ROUTED):
                 here = at[lo : lo + ROUTED]
                 held = np.zeros((len(here), 1 << SLOT_BITS), bool)
-                w = _Side(words.take(pa.array(here))).words(n)
-                for change in [x for kind in KINDS if w for x in _changes(n, kind)]:
-                    held[w.at, w.slot(*change)] = True
+                if 0 < n <= LONG + 2:
+                    w = _Side(words.take(pa.array(here))).words(n)
+                    for change in [x for kind in KINDS for x in _changes(n, kind)]:
+                        held[w.at, w.slot(*change)] = True
+                if n > LONG - 2:
+                    for i, (word, known) in enumerate(zip(words.take(pa.array(here)).to_pylist(), t.column("known").take(pa.array(here)).to_pylist(), strict=True)):
+                        held[i, [_piece_slot(x) for x in _pieces(word, known)]] = True
                 row, slot = np.divmod(np.flatnonzero(held), 1 << SLOT_BITS)
                 for b in t.take(pa.array(here[row])).combine_chunks().to_batches():
                     yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), *b.columns], ["slot", *b.schema.names])
@@ -230,7 +264,7 @@ def _met(key: np.ndarray, word: np.ndarray, known: _Keys) -> tuple[np.ndarray, n
 
 
 def _pairs(words: pa.Table, mine: np.ndarray, best: int | None) -> pa.RecordBatch:
-    """(word, candidate, freq): pairs within two edits that have a key in these slots, the first ``best`` of each unknown word."""
+    """(word, candidate, freq): pairs within two edits that have a key in these slots, the first ``best`` of each unknown word; of long words all that may be within two."""
     is_known = words.column("known")
     unknown, known = (words.filter(x).select(["word", "freq"]).combine_chunks() for x in (pc.invert(is_known), is_known))
     known = known.take(pc.sort_indices(known, [("freq", "descending"), ("word", "ascending")]))
@@ -260,6 +294,8 @@ def _pairs(words: pa.Table, mine: np.ndarray, best: int | None) -> pa.RecordBatc
         start = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
         few = np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)])) < best
         u, k = u[few], k[few]
+    more = _long_pairs(names, candidates, mine)
+    u, k = np.r_[u, np.array(more[0], np.int64)], np.r_[k, np.array(more[1], np.int64)]
     return pa.RecordBatch.from_arrays([names.take(pa.array(u)), candidates.take(pa.array(k)), known.column("freq").combine_chunks().take(pa.array(k))], ["word", "candidate", "freq"])
 
 

@@ -54,3 +54,16 @@ def test_vocabulary_counts_documents_by_id(spark):
     assert got == {r["word"]: (r["freq"], r["known"]) for r in t.collect()}
     assert got["haus"] == (4, False) and got["maus"] == (2, True) and got["laus"] == (2, False) and got["allein"] == (1, False)
     assert got["z.b."] == (1, False) and got["it's"] == (1, False) and "10" not in got and "x@y.de" not in got
+
+
+def test_very_long_words(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdeß") for _ in range(n)) for n in (30, 31, 32, 33, 34, 35, 36, 60, 3_000)]
+    known = [(w, i) for i, w in enumerate(sorted({x for w in base for x in (w, w[:9] + w[10:], w[:3] + "é" + w[3:-1] + "z")}))]
+    unknown = sorted({x for w in base for x in (w[1:-1], "x" + w + "y", w[:5] + "q" + w[6:-2] + "qq", w[:7] + w[9:], w[:5] + "q" + w[6:20] + "q" + w[20:])})
+    got = sorted(map(tuple, ranked(spark, [w for w in unknown if len(w) < 99], [x for x in known if len(x[0]) < 99], 5)[1].collect()))
+    assert got == first([w for w in unknown if len(w) < 99], [x for x in known if len(x[0]) < 99])
+    rows = ranked(spark, [w for w in unknown if len(w) > 99], [x for x in known if len(x[0]) > 99], 5)[1].collect()
+    w = base[-1]
+    assert (w, 2) in {(r["candidate"], r["edits"]) for r in rows if r["word"] == w[:7] + w[9:]}
+    assert {r["candidate"] for r in rows if r["word"] == "x" + w + "y"} == {w}
